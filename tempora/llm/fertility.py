@@ -2,8 +2,8 @@
 
 Base rules count words, symbols, repeated lines and repeated three-word windows in every whole text. The method
 then measures, with public vocabularies, characters per token and the entropy of the token distribution
-(byte-level BPE), and the share of byte-fallback tokens (piece BPE, word by word), and rejects texts outside
-the band of their script. Bands are wide on purpose: prose of any kind lies well inside, while runs of
+(byte-level BPE), the share of tokens without a letter, digit or blank, and the share of byte-fallback
+tokens (piece BPE, word by word), and rejects texts outside the band of their script. Bands are wide on purpose: prose of any kind lies well inside, while runs of
 symbols, shouting, gibberish bytes and endless repetition don't.
 
 Null text has no words, so it fails the base rules, as empty texts do. Repeated rows give repeated results; an
@@ -12,6 +12,7 @@ empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -25,21 +26,22 @@ from pyspark.sql import functions as F
 from tempora.llm import bpe
 from tempora.llm.common import WORD, documents_only
 
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, chars_per_token double, fallback_share double, token_entropy double, script string"
+SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, chars_per_token double, fallback_share double, token_entropy double, symbol_share double, script string"
 _SYMBOLS, _BLANK = b"#*$%&|<>", " \t\n\r\x0b\f"
 
 
 class Band(NamedTuple):
-    """What texts of a script may have: characters per token from least to most, byte-fallback share, bits of token entropy."""
+    """What texts of a script may have: characters per token from least to most, shares of fallback and symbol tokens, bits of token entropy."""
 
     least: float
     most: float
     fallback: float
+    symbols: float
     entropy: float
 
 
 #: By script; texts of fewer than ENOUGH tokens are judged by the base rules alone.
-BANDS = {"latin": Band(1.6, 8.0, 0.10, 3.5), "cyrillic": Band(0.7, 8.0, 0.10, 3.5), "greek": Band(0.5, 8.0, 0.20, 3.5), "cjk": Band(0.25, 4.0, 0.90, 3.0), "other": Band(0.2, 8.0, 0.95, 3.0)}
+BANDS = {"latin": Band(1.5, 8.0, 0.10, 0.15, 3.5), "cyrillic": Band(0.7, 8.0, 0.10, 0.15, 3.5), "greek": Band(0.5, 8.0, 0.20, 0.15, 3.5), "cjk": Band(0.25, 4.0, 0.90, 0.3, 3.0), "other": Band(0.2, 8.0, 0.95, 0.5, 3.0)}
 ENOUGH = 50
 
 
@@ -60,7 +62,7 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
 
 
 def script_of(text: str) -> str:
-    """By the most frequent kind of letter among the first of each distinct character's counts."""
+    """The script of most letters."""
     n: Counter[str] = Counter()
     for ch, k in Counter(text).items():
         if ch.isalpha():
@@ -82,6 +84,8 @@ def measure(bpe_path: str, piece_path: str, bands: dict[str, Band]):
         import sentencepiece
 
         coder, pieces = bpe.library_coder(bpe_path), sentencepiece.SentencePieceProcessor(model_file=piece_path)
+        plain = np.zeros(1 + max(bpe.load_ranks(bpe_path).values()), bool)
+        plain[[i for t, i in bpe.load_ranks(bpe_path).items() if re.fullmatch(rb" ?[!-/:-@\[-`{-~]+", t)]] = True
         is_byte = np.fromiter((pieces.is_byte(i) for i in range(pieces.get_piece_size())), bool)
         known: dict[str, tuple[int, int]] = {}
         for pdf in batches:
@@ -100,10 +104,10 @@ def measure(bpe_path: str, piece_path: str, bands: dict[str, Band]):
                 total = sum(k * known[w][0] for w, k in words.items())
                 fallback = sum(k * known[w][1] for w, k in words.items()) / total if total else 0.0
                 per, bits, script = len(text) / len(ids) if len(ids) else 0.0, entropy(ids), script_of(text)
-                b = bands[script]
-                good = len(ids) < ENOUGH or b.least <= per <= b.most and fallback <= b.fallback and bits >= b.entropy
-                rows.append((*counts, failed, good and not failed, per, fallback, bits, script))
-            out = pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_per_token", "fallback_share", "token_entropy", "script"])
+                b, symbols = bands[script], float(plain[ids].mean()) if len(ids) else 0.0
+                good = len(ids) < ENOUGH or b.least <= per <= b.most and fallback <= b.fallback and symbols <= b.symbols and bits >= b.entropy
+                rows.append((*counts, failed, good and not failed, per, fallback, bits, symbols, script))
+            out = pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_per_token", "fallback_share", "token_entropy", "symbol_share", "script"])
             out.insert(0, "doc_id", pdf["doc_id"].array)
             yield out
 

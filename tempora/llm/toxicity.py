@@ -7,7 +7,7 @@ spelled out with blanks or dots are joined first. A text's value for a landmark
 word, relative to the landmark's own (values under FLOOR count as 0), squared; the Nystroem map whitens
 the values by the inverse root of the kernel among landmarks, and a linear support vector machine is trained
 on them. Landmarks are words and word beginnings chosen greedily by how many toxic training texts they
-explain beyond those already chosen, against their share of clean texts.
+explain that fewer than COVER landmarks explain so far, against their share of clean texts.
 
 Training takes at most PER_CLASS labelled texts of each class, those of smallest hash among texts of at most
 LONGEST characters, and adds a variant of each toxic text with characters inserted into its most telling words.
@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 
 from tempora.llm.common import documents_only
 
-SPAN, DECAY, FLOOR, LANDMARKS, PER_CLASS, LONGEST, CUT = 6, 0.7, 0.5, 64, 3000, 20_000, 0.7
+SPAN, DECAY, FLOOR, LANDMARKS, COVER, PER_CLASS, LONGEST, CUT = 6, 0.7, 0.5, 64, 3, 3000, 20_000, 0.7
+#: Clean texts for each toxic one, where scores are cut.
+WEIGHT = 10
 RESULT = "doc_id long, held_out boolean, score double, predicted int"
 _WORD = re.compile(r"[^\s.,;:!?()\[\]{}\"|]+")
 _SPELLED = re.compile(r"(?<!\S)(?:\w[ .*_-]){3,}\w(?!\S)")
@@ -42,7 +44,7 @@ _CODES = 64
 
 def words_of(text: str) -> set[str]:
     """The distinct words in lower case, spelled-out ones joined as well."""
-    text = text.lower()
+    text = text.lower().replace("\x00", " ")
     out = set(_WORD.findall(text))
     if m := _SPELLED.findall(text):
         out.update(re.sub(r"[ .*_-]", "", x) for x in m)
@@ -50,8 +52,8 @@ def words_of(text: str) -> set[str]:
 
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Characters as numbers under _CODES, and the word of each; words are marked and followed by no other word's window."""
-    marked = [f"\x02{w}\x03" for w in words]
+    """Characters as numbers under _CODES, and the word of each; a word's beginning (with a trailing NUL) has no end mark."""
+    marked = [f"\x02{w[:-1]}" if w[-1:] == "\x00" else f"\x02{w}\x03" for w in words]
     c = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.int64)
     table = np.where((c >= 97) & (c <= 122), c - 96, np.where(c == 2, 27, np.where(c == 3, 28, 29 + c % (_CODES - 29))))
     return table, np.repeat(np.arange(len(words)), [len(w) for w in marked])
@@ -75,7 +77,6 @@ class Kernel:
         table = np.zeros((_CODES**3, len(landmarks)), np.float32)
         for of, code, weight in _triples(landmarks):
             np.add.at(table, (code, of), weight)
-        # a landmark that is a word's beginning has no end mark
         self.own = (table**2).sum(0)
         self.used = table.any(1)
         self.row = np.cumsum(self.used) - 1
@@ -125,28 +126,30 @@ def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int = L
         n0.update(x for x in _candidates(w) if x in n1)
     odds = {x: math.log((n / len(toxic) + 1e-4) / (n0[x] / len(clean) + 2.0 / len(clean))) for x, n in n1.items()}
     good = {x for x, o in odds.items() if o > 1.5}
-    left, out = [s & good for s in pos], []
-    gain = Counter(x for s in left for x in s)
+    left, out = [(COVER, s & good) for s in pos], []
+    gain = Counter(x for _, s in left for x in s)
     while gain and len(out) < most:
         best = max(gain, key=lambda x: (gain[x] * odds[x], len(x), x))
         if gain[best] < 2:
             break
         out.append(best)
+        stem = best.rstrip("\x00")
+        alike = {x for x in gain if x.startswith(stem) or stem.startswith(x.rstrip("\x00"))}  # they would say the same
         rest = []
-        for s in left:
-            if best in s:
-                gain.subtract(s)
-            else:
-                rest.append(s)
+        for n, s in left:  # a text counts until COVER landmarks explain it
+            got = s & alike
+            s -= got
+            if got:
+                if n == 1:
+                    gain.subtract(s)
+                    continue
+                n -= 1
+            rest.append((n, s))
         left = rest
-        gain = Counter({x: n for x, n in gain.items() if n > 0})
+        gain = Counter({x: n for x, n in gain.items() if n > 0 and x not in alike})
     return out
 
 
-def _marked(landmarks: list[str]) -> list[str]:
-    return [x.rstrip("\x00") for x in landmarks]
-
-
 def svm(x: np.ndarray, y: np.ndarray, c: np.ndarray, epochs: int = 30) -> tuple[np.ndarray, float]:
     """Linear support vector machine by dual coordinate descent; y in -1, 1; c: the cost of each row."""
     x = np.c_[x, np.ones(len(x))]
@@ -178,7 +181,7 @@ def train(texts: list[str], labels: list[int]) -> Model:
     if not toxic or not clean:
         return Model(["none"], np.zeros(1), 0.0, 1.0, 40.0)
     landmarks = choose_landmarks(toxic, clean) or ["none"]
-    kernel = Kernel(_marked(landmarks))
+    kernel = Kernel(landmarks)
     pooled = _pool(kernel, words)
     rng, bent = random.Random(0), []
     for t in toxic:  # variants with inserted characters
@@ -188,7 +191,7 @@ def train(texts: list[str], labels: list[int]) -> Model:
             k = rng.randrange(1, max(2, min(len(w), 6)))
             new.add(w[:k] + rng.choice(["-", "*", "_", "1", "x"]) + w[k:])
         bent.append(new)
-    gram = kernel.values(_marked(landmarks)).astype(float)
+    gram = kernel.values(landmarks).astype(float)
     gram = (gram + gram.T) / 2 + 1e-3 * np.eye(len(gram))
     value, vector = np.linalg.eigh(gram)
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
@@ -205,11 +208,13 @@ def train(texts: list[str], labels: list[int]) -> Model:
         held, truth = margin, y
     cuts = np.unique(held)
     cuts = np.r_[cuts[0] - 1, (cuts[1:] + cuts[:-1]) / 2]
-    f1 = [2 * ((held > c) & (truth == 1)).sum() / max(1, (held > c).sum() + (truth == 1).sum()) for c in cuts]
+    rarity = WEIGHT * (truth == 1).sum() / (truth == 0).sum()  # clean texts are far more frequent than here
+    hit, miss, wrong = (np.asarray([f(c).sum() for c in cuts]) for f in (lambda c: (held > c) & (truth == 1), lambda c: (held <= c) & (truth == 1), lambda c: (held > c) & (truth == 0)))
+    f1 = (2 * hit / np.maximum(2 * hit + miss + rarity * wrong, 1e-9)).tolist()
     best = max(f1)
     cut = float(np.median([c for c, f in zip(cuts, f1, strict=True) if f >= best - 1e-12]))
     slope = 4.0
-    return Model(_marked(landmarks), weights, bias, slope, cut - math.log(CUT / (1 - CUT)) / slope)
+    return Model(landmarks, weights, bias, slope, cut - math.log(CUT / (1 - CUT)) / slope)
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
