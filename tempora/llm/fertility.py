@@ -2,8 +2,8 @@
 
 Base rules count words, symbols, repeated lines and repeated three-word windows in every whole text. The method
 then measures, with public vocabularies, characters per token and the entropy of the token distribution
-(byte-level BPE), the share of tokens without a letter, digit or blank, and the share of byte-fallback
-tokens (piece BPE, word by word), and rejects texts outside the band of their script. Bands are wide on purpose: prose of any kind lies well inside, while runs of
+(byte-level BPE), the share of tokens without a letter, digit or blank, and the share of bytes that only byte-fallback
+tokens can spell (piece BPE), and rejects texts outside the band of their script. Bands are wide on purpose: prose of any kind lies well inside, while runs of
 symbols, shouting, gibberish bytes and endless repetition don't.
 
 Null text has no words, so it fails the base rules, as empty texts do. Repeated rows give repeated results; an
@@ -12,6 +12,7 @@ empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections import Counter
@@ -27,11 +28,12 @@ from tempora.llm import bpe
 from tempora.llm.common import WORD, documents_only
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, chars_per_token double, fallback_share double, token_entropy double, symbol_share double, script string"
+_PLAIN = re.compile(rb" ?[!-/:-@\[-`{-~]+")
 _SYMBOLS, _BLANK = b"#*$%&|<>", " \t\n\r\x0b\f"
 
 
 class Band(NamedTuple):
-    """What texts of a script may have: characters per token from least to most, shares of fallback and symbol tokens, bits of token entropy."""
+    """What texts of a script may have: characters per token from least to most, shares of fallback bytes and symbol tokens, bits of token entropy."""
 
     least: float
     most: float
@@ -63,14 +65,41 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
 
 def script_of(text: str) -> str:
     """The script of most letters."""
+    if not text or max(text) < "\u0250":
+        return "latin" if any(map(str.isalpha, text)) else "other"
     n: Counter[str] = Counter()
     for ch, k in Counter(text).items():
         if ch.isalpha():
-            name = "latin" if ch < "ɐ" else unicodedata.name(ch, "").split(" ")[0].lower()
+            name = "latin" if ch < "\u0250" else unicodedata.name(ch, "").split(" ")[0].lower()
             n["cjk" if name in ("cjk", "hiragana", "katakana", "hangul") else name if name in BANDS else "other"] += k
     return min(n, key=lambda s: (-n[s], s)) if n else "other"
 
 
+class Pieces:
+    """Which characters the piece vocabulary can only spell in byte tokens."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.model, self.known = sentencepiece.SentencePieceProcessor(model_file=path), {}
+
+    def spelled(self, ch: str) -> bool:
+        got = self.known.get(ch)
+        if got is None:
+            got = self.known[ch] = any(map(self.model.is_byte, self.model.encode(ch)))
+        return got
+
+    def share(self, text: str) -> float:
+        """Of the text's bytes, those that become byte tokens."""
+        odd = [ch for ch in set(text) if self.spelled(ch)]
+        return sum(text.count(ch) * len(ch.encode()) for ch in odd) / len(text.encode()) if odd else 0.0
+
+
+@functools.lru_cache(None)
+def pieces(path: str) -> Pieces:
+    return Pieces(path)
+
+
 def entropy(ids: np.ndarray) -> float:
     """Bits a token."""
     if not len(ids):
@@ -81,13 +110,9 @@ def entropy(ids: np.ndarray) -> float:
 
 def measure(bpe_path: str, piece_path: str, bands: dict[str, Band]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import sentencepiece
-
-        coder, pieces = bpe.library_coder(bpe_path), sentencepiece.SentencePieceProcessor(model_file=piece_path)
-        plain = np.zeros(1 + max(bpe.load_ranks(bpe_path).values()), bool)
-        plain[[i for t, i in bpe.load_ranks(bpe_path).items() if re.fullmatch(rb" ?[!-/:-@\[-`{-~]+", t)]] = True
-        is_byte = np.fromiter((pieces.is_byte(i) for i in range(pieces.get_piece_size())), bool)
-        known: dict[str, tuple[int, int]] = {}
+        coder, vocabulary, ranks = bpe.library_coder(bpe_path), pieces(piece_path), bpe.load_ranks(bpe_path)
+        plain = np.zeros(1 + max(ranks.values()), bool)
+        plain[[i for t, i in ranks.items() if _PLAIN.fullmatch(t)]] = True
         for pdf in batches:
             rows = []
             for text in pdf["text"].tolist():
@@ -95,16 +120,9 @@ def measure(bpe_path: str, piece_path: str, bands: dict[str, Band]):
                 n_words, *_, n_repeat = counts
                 failed = n_words < 50 or 100 * n_repeat > 50 * n_words
                 ids = np.frombuffer(coder.ids(text), "<u4")
-                words = Counter(WORD.findall(text))
-                new = [w for w in words if w not in known]
-                if len(known) + len(new) > 300_000:
-                    known, new = {}, list(words)
-                for w, got in zip(new, pieces.encode(new, num_threads=1) if new else [], strict=True):
-                    known[w] = (len(got), int(is_byte[got].sum()) if got else 0)
-                total = sum(k * known[w][0] for w, k in words.items())
-                fallback = sum(k * known[w][1] for w, k in words.items()) / total if total else 0.0
+                fallback, symbols = vocabulary.share(text), float(plain[ids].mean()) if len(ids) else 0.0
                 per, bits, script = len(text) / len(ids) if len(ids) else 0.0, entropy(ids), script_of(text)
-                b, symbols = bands[script], float(plain[ids].mean()) if len(ids) else 0.0
+                b = bands[script]
                 good = len(ids) < ENOUGH or b.least <= per <= b.most and fallback <= b.fallback and symbols <= b.symbols and bits >= b.entropy
                 rows.append((*counts, failed, good and not failed, per, fallback, bits, symbols, script))
             out = pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_per_token", "fallback_share", "token_entropy", "symbol_share", "script"])

@@ -81,6 +81,8 @@ class Kernel:
         self.used = table.any(1)
         self.row = np.cumsum(self.used) - 1
         self.table = table[self.used] / self.own
+        self.most = np.zeros(_CODES**3, np.float32)
+        self.most[self.used] = self.table.max(1)
 
     def raw(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
@@ -93,9 +95,18 @@ class Kernel:
         return out
 
     def values(self, words: list[str]) -> np.ndarray:
-        v = np.minimum(self.raw(words), 1)
-        v[v < FLOOR] = 0
-        return v * v
+        bound = np.zeros(len(words), np.float32)  # of any landmark's value; most words stay below the floor
+        for of, code, weight in _triples(words):
+            if len(of):
+                first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+                bound[of[first]] += weight * np.add.reduceat(self.most[code], first)
+        near = np.flatnonzero(bound >= FLOOR * 0.999)
+        out = np.zeros((len(words), len(self.landmarks)), np.float32)
+        if len(near):
+            v = np.minimum(self.raw([words[i] for i in near.tolist()]), 1)
+            v[v < FLOOR] = 0
+            out[near] = v * v
+        return out
 
 
 @dataclass
@@ -130,7 +141,7 @@ def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int = L
     gain = Counter(x for _, s in left for x in s)
     while gain and len(out) < most:
         best = max(gain, key=lambda x: (gain[x] * odds[x], len(x), x))
-        if gain[best] < 2:
+        if gain[best] < max(2, len(toxic) // 150):
             break
         out.append(best)
         stem = best.rstrip("\x00")
