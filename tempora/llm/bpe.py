@@ -12,6 +12,7 @@ import base64
 import functools
 import unicodedata
 from collections.abc import Callable
+from struct import pack
 
 import numpy as np
 
@@ -68,10 +69,12 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class WordCoder:
-    """Ids of whole texts, word by word; ``encode`` maps new words to lists of ids, in one call a text or block."""
+    """Ids of whole texts, word by word; ``encode`` maps new words to lists of ids, in one call a text or block.
+
+    The cache has two generations of ``room`` words at most: a word that comes again moves to the younger one."""
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], room: int = 300_000):
-        self.encode, self.room, self.known = encode, room, {}
+        self.encode, self.room, self.known, self.older = encode, room, {}, {}
 
     def ids(self, text: str) -> bytes:
         words = split(text)
@@ -79,16 +82,30 @@ class WordCoder:
         return b"".join(map(self.known.__getitem__, words))
 
     def learn(self, words: list[str]) -> None:
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
+        """Afterwards known has all of words."""
+        new = set(words).difference(self.known)
+        if not new:
+            return
         if len(self.known) + len(new) > self.room:
-            self.known = {}
-            new = list(dict.fromkeys(words))
-        for w, ids in zip(new, self.encode(new), strict=True):
-            self.known[w] = np.asarray(ids, "<u4").tobytes()
+            self.known, self.older = {}, self.known
+            new = set(words)
+        known, older = self.known, self.older
+        if again := new & older.keys():
+            for w in again:
+                known[w] = older[w]
+            new -= again
+        rest = list(new)
+        for w, ids in zip(rest, self.encode(rest), strict=True):
+            known[w] = self.keep(ids)
+
+    def keep(self, ids: list[int]):
+        """What is known of a word."""
+        return pack(f"<{len(ids)}I", *ids)
 
 
+@functools.lru_cache(None)
 def library_coder(path: str) -> WordCoder:
-    """New words go to tiktoken with the same ranks; on one match of the pattern it merges just as the json file's model does."""
+    """One for each Python worker. New words go to tiktoken with the same ranks; on one match of the pattern it merges just as the json file's model does."""
     import public_tokenizers
     import tiktoken
 

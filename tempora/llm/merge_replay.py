@@ -12,6 +12,7 @@ words are no special case: the replay is n log n in a word's length.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 from collections.abc import Iterator
@@ -35,21 +36,18 @@ class MergeReplay:
         self.byte = [ranks[bytes([i])] for i in range(256)]
         self.pairs: dict[int, int] = {}
 
-    def _rank(self, a: int, b: int) -> int:
-        """Of what the pair merges to; -1 if it doesn't."""
-        key = a << 20 | b
-        r = self.pairs.get(key)
-        if r is None:
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
-            r = self.pairs[key] = self.ranks.get(self.token[a] + self.token[b], -1)
-        return r
-
     def encode(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word, as if each were merged alone, lowest rank first and leftmost first."""
+        """Ids of each word, as if each were merged alone, lowest rank first and leftmost first; a word that is a token needs no merge."""
         raw = [w.encode("utf-8") for w in words]
-        ends = np.cumsum([len(x) for x in raw]).tolist()
-        byte, rank = self.byte, self._rank
+        whole = [self.ranks.get(x) for x in raw]
+        merged = iter(self.replay([x for x, i in zip(raw, whole, strict=True) if i is None]))
+        return [next(merged) if i is None else [i] for i in whole]
+
+    def replay(self, raw: list[bytes]) -> list[list[int]]:
+        ends = np.cumsum([len(x) for x in raw], dtype=np.int64).tolist()
+        byte, pairs, token, ranks = self.byte, self.pairs, self.token, self.ranks
+        if len(pairs) > 2_000_000:
+            pairs.clear()
         sym = [byte[x] for x in b"".join(raw)]
         n = len(sym)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
@@ -59,32 +57,55 @@ class MergeReplay:
             if e < n:
                 left[e] = -1
         index: dict[int, list[int]] = {}
-        for p in range(n):
-            q = right[p]
-            if q > 0 and (r := rank(sym[p], sym[q])) >= 0:
-                index.setdefault(r, []).append(p)
+        for p, (a, b, q) in enumerate(zip(sym, sym[1:], right, strict=False)):
+            if q > 0:
+                key = a << 20 | b
+                r = pairs.get(key)
+                if r is None:
+                    r = pairs[key] = ranks.get(token[a] + token[b], -1)
+                if r >= 0:
+                    if r in index:
+                        index[r].append(p)
+                    else:
+                        index[r] = [p]
         heap = list(index)
         heapq.heapify(heap)
         while heap:
             r = heapq.heappop(heap)
-            at = sorted(index.pop(r, ()))
+            at = index.pop(r, ())
+            if len(at) > 1:
+                at.sort()
             for i, p in enumerate(at):
                 q = right[p]
-                if sym[p] < 0 or q < 0 or rank(sym[p], sym[q]) != r:
+                a = sym[p]
+                if a < 0 or q < 0 or pairs[a << 20 | sym[q]] != r:
                     continue  # a neighbour has changed since this was noted
                 sym[p], sym[q] = r, -1
                 after = right[p] = right[q]
                 before, lower = left[p], False
-                for x, y in ((p, after), (before, p)):
-                    if x < 0 or y < 0:
-                        continue
-                    if x == p:
-                        left[y] = p
-                    if (s := rank(sym[x], sym[y])) >= 0:
+                if after >= 0:
+                    left[after] = p
+                    key = r << 20 | sym[after]
+                    s = pairs.get(key)
+                    if s is None:
+                        s = pairs[key] = ranks.get(token[r] + token[sym[after]], -1)
+                    if s >= 0:
                         if s in index:
-                            index[s].append(x)
+                            index[s].append(p)
                         else:
-                            index[s] = [x]
+                            index[s] = [p]
+                            heapq.heappush(heap, s)
+                        lower = s < r
+                if before >= 0:
+                    key = sym[before] << 20 | r
+                    s = pairs.get(key)
+                    if s is None:
+                        s = pairs[key] = ranks.get(token[sym[before]] + token[r], -1)
+                    if s >= 0:
+                        if s in index:
+                            index[s].append(before)
+                        else:
+                            index[s] = [before]
                             heapq.heappush(heap, s)
                         lower |= s < r
                 if lower and i + 1 < len(at):  # what has come up goes before the rest of this rank
@@ -98,14 +119,28 @@ class MergeReplay:
         return out
 
 
+class Coder(bpe.WordCoder):
+    """Knows, of each word, its number of ids, the ids in decimal, and the bytes that they decode to."""
+
+    def __init__(self, path: str):
+        self.merges = MergeReplay(bpe.load_ranks(path))
+        super().__init__(self.merges.encode)
+
+    def keep(self, ids: list[int]) -> tuple[int, str, bytes]:
+        return len(ids), " ".join(map(str, ids)), b"".join(map(self.merges.token.__getitem__, ids))
+
+
+@functools.lru_cache(None)
+def coder(path: str) -> Coder:
+    """One for each Python worker, so that a task finds the words of those before it."""
+    return Coder(path)
+
+
 def encoder(path: str):
     """A mapInPandas function from doc_id, text to SCHEMA."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        replay = MergeReplay(bpe.load_ranks(path))
-        coder = bpe.WordCoder(replay.encode, room=200_000)
-        tokens = [replay.token[i] for i in range(len(replay.token))]
-        names = [str(i) for i in range(len(tokens))]
+        own = coder(path)
         for pdf in batches:
             texts, rows, i = pdf["text"].tolist(), [], 0
             while i < len(texts):
@@ -114,10 +149,10 @@ def encoder(path: str):
                     chars += len(texts[j])
                     j += 1
                 block = [bpe.split(t) for t in texts[i:j]]
-                coder.learn([w for words in block for w in words])
+                own.learn(set().union(*block))
                 for words in block:
-                    ids = np.frombuffer(b"".join(map(coder.known.__getitem__, words)), "<u4").tolist()
-                    rows.append((len(ids), hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(b"".join(map(tokens.__getitem__, ids))).hexdigest()))
+                    n, ids, raw = zip(*map(own.known.__getitem__, words), strict=True) if words else ((), (), ())
+                    rows.append((sum(n), hashlib.sha256(" ".join(ids).encode()).hexdigest(), hashlib.sha256(b"".join(raw)).hexdigest()))
                 i = j
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             out.insert(0, "doc_id", pdf["doc_id"].array)
