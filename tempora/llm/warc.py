@@ -146,7 +146,9 @@ def read(index: DataFrame, payload: bool = True) -> DataFrame:
 
     stripe = (F.col("offset") / STRIPE).cast("long")
     chosen = index.select("archive", "offset", "length", "folder", stripe.alias("stripe"))
-    return chosen.repartition("archive", "stripe").sortWithinPartitions("archive", "offset").mapInPandas(run, READ)
+    # a number of partitions given: the rows are few, what they stand for isn't, so they must not be put together by their size
+    n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return chosen.repartition(n, "archive", "stripe").sortWithinPartitions("archive", "offset").mapInPandas(run, READ)
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
