@@ -3,11 +3,13 @@
 Strings are words between a start and an end mark. The kernel is the gap-weighted subsequence kernel of order
 three: each subsequence of three characters, within a window of SPAN, weighs DECAY to the number of skipped
 characters. So an insult with inserted or missing characters still shares most of its subsequences; words
-spelled out with blanks or dots are joined first. A text's value for a landmark is that of its most similar
-word, relative to the landmark's own (values under FLOOR count as 0), squared; the Nystroem map whitens
-the values by the inverse root of the kernel among landmarks, and a linear support vector machine is trained
-on them. Landmarks are words and word beginnings chosen greedily by how many toxic training texts they
-explain that fewer than COVER landmarks explain so far, against their share of clean texts.
+spelled out with blanks or dots are joined first. A word's value for a landmark is relative to the landmark's
+own (values under FLOOR count as 0), squared. A text has two values for each landmark: that of its most similar
+word (a match kernel of word sets), and the mean over its words, in units of RATE and 1 at most (a mean-map
+kernel), so that a chance likeness in a long text says little. The Nystroem map whitens both by the inverse root
+of the kernel among landmarks, and a linear support vector machine is trained on them. Landmarks are words and word
+beginnings chosen greedily by how many toxic training texts hold them, once or at least twice, that fewer than
+COVER landmarks explain so far, against their share of clean texts.
 
 Training takes at most PER_CLASS labelled texts of each class, those of smallest hash among texts of at most
 LONGEST characters, and adds a variant of each toxic text with characters inserted into its most telling words.
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tempora.llm.common import documents_only
 
-SPAN, DECAY, FLOOR, LANDMARKS, COVER, PER_CLASS, LONGEST, CUT = 6, 0.7, 0.5, 64, 3, 3000, 20_000, 0.7
+SPAN, DECAY, FLOOR, LANDMARKS, COVER, PER_CLASS, LONGEST, CUT, RATE = 6, 0.7, 0.5, 64, 3, 3000, 20_000, 0.7, 0.02
 #: Clean texts for each toxic one, where scores are cut.
 WEIGHT = 10
 RESULT = "doc_id long, held_out boolean, score double, predicted int"
@@ -42,10 +44,10 @@ _SPELLED = re.compile(r"(?<!\S)(?:\w[ .*_-]){3,}\w(?!\S)")
 _CODES = 64
 
 
-def words_of(text: str) -> set[str]:
-    """The distinct words in lower case, spelled-out ones joined as well."""
+def words_of(text: str) -> Counter[str]:
+    """The words in lower case and how often they occur, spelled-out ones joined as well."""
     text = text.lower().replace("\x00", " ")
-    out = set(_WORD.findall(text))
+    out = Counter(_WORD.findall(text))
     if m := _SPELLED.findall(text):
         out.update(re.sub(r"[ .*_-]", "", x) for x in m)
     return out
@@ -112,45 +114,50 @@ class Kernel:
 @dataclass
 class Model:
     landmarks: list[str]
-    weights: np.ndarray  # on the pooled values, the Nystroem map included
+    weights: np.ndarray  # on the pooled values, most and mean, the Nystroem map included
     bias: float
     slope: float
     middle: float  # the margin whose score is 0.5
 
-    def score(self, pooled: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * (pooled @ self.weights + self.bias - self.middle), -40, 40)))
+    def score(self, values: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * (values @ self.weights + self.bias - self.middle), -40, 40)))
 
 
-def _candidates(words: set[str]) -> set[str]:
-    out = {w for w in words if 3 <= len(w) <= 24}
-    out.update(w[:k] + "\x00" for w in words for k in range(4, min(len(w), 9)))
-    return out
+def _candidates(words: Counter[str]) -> set[tuple[str, bool]]:
+    """(word or beginning of words, marked by a trailing NUL; whether twice or more) of a text."""
+    n: Counter[str] = Counter()
+    for w, k in words.items():
+        if 3 <= len(w) <= 24:
+            n[w] += k
+        for i in range(4, min(len(w), 9)):
+            n[w[:i] + "\x00"] += k
+    return {(x, False) for x in n} | {(x, True) for x, k in n.items() if k > 1}
 
 
-def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int = LANDMARKS) -> list[str]:
-    """Words, or beginnings of words (marked by a trailing NUL), that explain the toxic texts."""
+def choose_landmarks(toxic: list[Counter[str]], clean: list[Counter[str]], most: int = LANDMARKS) -> list[str]:
+    """Words, or beginnings of words, that explain the toxic texts."""
     pos = [_candidates(w) for w in toxic]
     n1 = Counter(x for s in pos for x in s)
     n1 = Counter({x: n for x, n in n1.items() if n >= max(2, len(toxic) // 400)})
-    n0: Counter[str] = Counter()
+    n0: Counter[tuple[str, bool]] = Counter()
     for w in clean:
-        n0.update(x for x in _candidates(w) if x in n1)
+        n0.update(_candidates(w) & n1.keys())
     odds = {x: math.log((n / len(toxic) + 1e-4) / (n0[x] / len(clean) + 2.0 / len(clean))) for x, n in n1.items()}
     good = {x for x, o in odds.items() if o > 1.5}
     left, out = [(COVER, s & good) for s in pos], []
     gain = Counter(x for _, s in left for x in s)
     while gain and len(out) < most:
-        best = max(gain, key=lambda x: (gain[x] * odds[x], len(x), x))
-        if gain[best] < max(2, len(toxic) // 150):
+        best = max(gain, key=lambda x: (gain[x] * odds[x], len(x[0]), x))
+        if gain[best] < max(3, len(toxic) // 80):
             break
-        out.append(best)
-        stem = best.rstrip("\x00")
-        alike = {x for x in gain if x.startswith(stem) or stem.startswith(x.rstrip("\x00"))}  # they would say the same
+        out.append(best[0])
+        stem = best[0].rstrip("\x00")
+        alike = {x for x in gain if x[0].startswith(stem) or stem.startswith(x[0].rstrip("\x00"))}  # they would say the same
         rest = []
         for n, s in left:  # a text counts until COVER landmarks explain it
             got = s & alike
             s -= got
-            if got:
+            if best in got:
                 if n == 1:
                     gain.subtract(s)
                     continue
@@ -174,53 +181,60 @@ def svm(x: np.ndarray, y: np.ndarray, c: np.ndarray, epochs: int = 30) -> tuple[
     return w[:-1], float(w[-1])
 
 
-def _pool(kernel: Kernel, texts: list[set[str]]) -> np.ndarray:
+def pooled(texts: list[Counter[str]], known: dict[str, np.ndarray], landmarks: int) -> np.ndarray:
+    """For each text, each landmark's value of the most similar word, then the mean over all words in units of RATE."""
+    out = np.zeros((len(texts), 2 * landmarks))
+    for k, words in enumerate(texts):
+        if hits := words.keys() & known.keys():
+            v = np.stack([known[w] for w in hits])
+            out[k, :landmarks] = v.max(0)
+            out[k, landmarks:] = np.minimum(1, np.fromiter((words[w] for w in hits), float, len(hits)) @ v / (RATE * words.total()))
+    return out
+
+
+def _pool(kernel: Kernel, texts: list[Counter[str]]) -> np.ndarray:
     known: dict[str, np.ndarray] = {}
     every = sorted({w for t in texts for w in t})
     for i in range(0, len(every), 20_000):
         part = every[i : i + 20_000]
         v = kernel.values(part)
         known.update((part[k], v[k]) for k in np.flatnonzero(v.any(1)).tolist())
-    zero = np.zeros(len(kernel.landmarks), np.float32)
-    return np.stack([np.max([known[w] for w in t & known.keys()] or [zero], axis=0) for t in texts]) if texts else np.zeros((0, len(zero)))
+    return pooled(texts, known, len(kernel.landmarks))
 
 
 def train(texts: list[str], labels: list[int]) -> Model:
     words, y = [words_of(t) for t in texts], np.asarray(labels)
-    fold = np.arange(len(y)) % 5 == 0  # sets where margins turn into scores
     toxic, clean = ([w for w, l in zip(words, y, strict=True) if l == k] for k in (1, 0))
     if not toxic or not clean:
-        return Model(["none"], np.zeros(1), 0.0, 1.0, 40.0)
+        return Model(["none"], np.zeros(2), 0.0, 1.0, 40.0)
     landmarks = choose_landmarks(toxic, clean) or ["none"]
     kernel = Kernel(landmarks)
-    pooled = _pool(kernel, words)
+    values = _pool(kernel, words)
     rng, bent = random.Random(0), []
     for t in toxic:  # variants with inserted characters
         hits = [w for w in t if any(w == l or l[-1] == "\x00" and w.startswith(l[:-1]) for l in landmarks)]
-        new = set(t) - set(hits)
+        new = Counter({w: n for w, n in t.items() if w not in hits})
         for w in hits:
             k = rng.randrange(1, max(2, min(len(w), 6)))
-            new.add(w[:k] + rng.choice(["-", "*", "_", "1", "x"]) + w[k:])
+            new[w[:k] + rng.choice(["-", "*", "_", "1", "x"]) + w[k:]] += t[w]
         bent.append(new)
     gram = kernel.values(landmarks).astype(float)
     gram = (gram + gram.T) / 2 + 1e-3 * np.eye(len(gram))
     value, vector = np.linalg.eigh(gram)
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
-    x = np.r_[pooled, _pool(kernel, bent)] @ root
+    both = np.kron(np.eye(2), root)
+    x = np.r_[values, _pool(kernel, bent)] @ both
     target = np.r_[np.where(y == 1, 1, -1), np.ones(len(bent))]
-    used = np.r_[~fold, ~fold[y == 1]]
-    n1, n0 = (target[used] == 1).sum(), (target[used] == -1).sum()
-    cost = np.where(target[used] == 1, 1.0, 2.0 * n1 / max(n0, 1))
-    w, bias = svm(x[used], target[used], cost)
-    weights = root @ w
-    margin = pooled @ weights + bias
-    held, truth = margin[fold], y[fold]
-    if truth.min() == truth.max():
-        held, truth = margin, y
-    cuts = np.unique(held)
+    n1, n0 = (target == 1).sum(), (target == -1).sum()
+    w, bias = svm(x, target, np.where(target == 1, 1.0, 2.0 * n1 / n0))
+    weights = both @ w
+    margin = values @ weights + bias
+    cuts = np.unique(margin)  # where margins turn into scores
     cuts = np.r_[cuts[0] - 1, (cuts[1:] + cuts[:-1]) / 2]
-    rarity = WEIGHT * (truth == 1).sum() / (truth == 0).sum()  # clean texts are far more frequent than here
-    hit, miss, wrong = (np.asarray([f(c).sum() for c in cuts]) for f in (lambda c: (held > c) & (truth == 1), lambda c: (held <= c) & (truth == 1), lambda c: (held > c) & (truth == 0)))
+    rarity = WEIGHT * (y == 1).sum() / (y == 0).sum()  # clean texts are far more frequent than here
+    over = lambda k: (y == k).sum() - np.searchsorted(np.sort(margin[y == k]), cuts, "right")
+    hit, wrong = over(1), over(0)
+    miss = (y == 1).sum() - hit
     f1 = (2 * hit / np.maximum(2 * hit + miss + rarity * wrong, 1e-9)).tolist()
     best = max(f1)
     cut = float(np.median([c for c, f in zip(cuts, f1, strict=True) if f >= best - 1e-12]))
@@ -245,7 +259,6 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
 def scorer(model: Model):
     """A function from a list of texts to their scores, with a cache of bounded size."""
     kernel, known, dull = Kernel(model.landmarks), {}, set()
-    zero = np.zeros((1, len(model.landmarks)))
 
     def run(texts: list[str]) -> np.ndarray:
         nonlocal dull
@@ -260,10 +273,10 @@ def scorer(model: Model):
             hit = v.any(1)
             known.update((part[k], v[k]) for k in np.flatnonzero(hit).tolist())
             dull.update(part[k] for k in np.flatnonzero(~hit).tolist())
-        pooled = np.concatenate([np.max([known[w] for w in t & known.keys()], axis=0, keepdims=False)[None] if t & known.keys() else zero for t in words]) if words else np.zeros((0, zero.shape[1]))
+        values = pooled(words, known, len(model.landmarks))
         if len(dull) > 400_000:
             dull = set()
-        return model.score(pooled)
+        return model.score(values)
 
     return run
 
