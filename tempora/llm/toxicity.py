@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tempora.llm.common import documents_only
 
-SPAN, DECAY, FLOOR, LANDMARKS, COVER, PER_CLASS, LONGEST, CUT, RATE = 6, 0.7, 0.5, 64, 3, 3000, 20_000, 0.7, 0.02
+SPAN, DECAY, FLOOR, LANDMARKS, COVER, PER_CLASS, LONGEST, CUT, RATE = 6, 0.7, 0.5, 64, 3, 1500, 20_000, 0.7, 0.02
 #: Clean texts for each toxic one, where scores are cut.
 WEIGHT = 10
 RESULT = "doc_id long, held_out boolean, score double, predicted int"
@@ -123,36 +123,39 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * (values @ self.weights + self.bias - self.middle), -40, 40)))
 
 
-def _candidates(words: Counter[str]) -> set[tuple[str, bool]]:
-    """(word or beginning of words, marked by a trailing NUL; whether twice or more) of a text."""
+def _candidates(words: Counter[str]) -> Iterator[str]:
+    """Words and beginnings of words (marked by a trailing NUL) of a text, and those that occur twice or more again with another NUL."""
     n: Counter[str] = Counter()
     for w, k in words.items():
         if 3 <= len(w) <= 24:
             n[w] += k
         for i in range(4, min(len(w), 9)):
             n[w[:i] + "\x00"] += k
-    return {(x, False) for x in n} | {(x, True) for x, k in n.items() if k > 1}
+    yield from n
+    yield from (x.rstrip("\x00") + "\x00" * (2 + x.endswith("\x00")) for x, k in n.items() if k > 1)
 
 
 def choose_landmarks(toxic: list[Counter[str]], clean: list[Counter[str]], most: int = LANDMARKS) -> list[str]:
-    """Words, or beginnings of words, that explain the toxic texts."""
-    pos = [_candidates(w) for w in toxic]
-    n1 = Counter(x for s in pos for x in s)
-    n1 = Counter({x: n for x, n in n1.items() if n >= max(2, len(toxic) // 400)})
-    n0: Counter[tuple[str, bool]] = Counter()
+    """Words, or beginnings of words, that explain the toxic texts. Only what is frequent among these is kept in memory."""
+    n1: Counter[str] = Counter()
+    for w in toxic:
+        n1.update(_candidates(w))
+    least = max(2, len(toxic) // 400)
+    n1 = Counter({x: n for x, n in n1.items() if n >= least})
+    n0: Counter[str] = Counter()
     for w in clean:
-        n0.update(_candidates(w) & n1.keys())
+        n0.update(x for x in _candidates(w) if x in n1)
     odds = {x: math.log((n / len(toxic) + 1e-4) / (n0[x] / len(clean) + 2.0 / len(clean))) for x, n in n1.items()}
-    good = {x for x, o in odds.items() if o > 1.5}
-    left, out = [(COVER, s & good) for s in pos], []
+    good = {x: x for x, o in odds.items() if o > 1.5}
+    left, out = [(COVER, {good[x] for x in _candidates(w) if x in good}) for w in toxic], []
     gain = Counter(x for _, s in left for x in s)
     while gain and len(out) < most:
-        best = max(gain, key=lambda x: (gain[x] * odds[x], len(x[0]), x))
+        best = max(gain, key=lambda x: (gain[x] * odds[x], len(x), x))
         if gain[best] < max(3, len(toxic) // 80):
             break
-        out.append(best[0])
-        stem = best[0].rstrip("\x00")
-        alike = {x for x in gain if x[0].startswith(stem) or stem.startswith(x[0].rstrip("\x00"))}  # they would say the same
+        stem = best.rstrip("\x00")
+        out.append(stem + "\x00" * ((len(best) - len(stem)) % 2))
+        alike = {x for x in gain if x.startswith(stem) or stem.startswith(x.rstrip("\x00"))}  # they would say the same
         rest = []
         for n, s in left:  # a text counts until COVER landmarks explain it
             got = s & alike
@@ -203,7 +206,8 @@ def _pool(kernel: Kernel, texts: list[Counter[str]]) -> np.ndarray:
 
 
 def train(texts: list[str], labels: list[int]) -> Model:
-    words, y = [words_of(t) for t in texts], np.asarray(labels)
+    one: dict[str, str] = {}
+    words, y = [Counter({one.setdefault(w, w): n for w, n in words_of(t).items()}) for t in texts], np.asarray(labels)
     toxic, clean = ([w for w, l in zip(words, y, strict=True) if l == k] for k in (1, 0))
     if not toxic or not clean:
         return Model(["none"], np.zeros(2), 0.0, 1.0, 40.0)
