@@ -7,8 +7,16 @@ from pyspark.sql import functions as F
 
 from tempora import model as M
 
-CREDITS = ("subtitles by", "synced by", "sync by", "corrected by", "subtitle by", "translated by", "encoded by", "ripped by", "captioned by", "www.", "http://", "https://", ".com", ".org", ".net", "opensubtitles", "addic7ed", "subscene", "podnapisi")
-_NOTES, _PAIRS = "[♪♫#*~\\s]+", ("[]", "()", "{}", "<>", "（）", "【】")
+# Fixed values, given by the behaviour to match: credit marks, note characters, brackets, words that name no title.
+CREDITS = ("www.", "http", ".com", ".org", ".net", "subtitle", "synced by", "sync by", "corrected by", "ripped by", "encoded by", "translated by", "opensubtitles", "addic7ed", "subscene", "podnapisi", "advertise your", "tekstet af", "oversat af")
+NOTES = "♪♫♬♩#*~"
+BRACKETS = (("[", "]"), ("(", ")"), ("（", "）"), ("【", "】"), ("「", "」"), ("<<", ">>"))
+LANGUAGE_WORDS = """
+en eng english da dan dansk danish sv swe swedish no nor nb norwegian fi fin finnish is isl icelandic de ger deu german
+fr fre fra french es spa spanish it ita italian nl dut nld dutch pt por portuguese pl pol polish ru rus russian cs ces
+czech tr tur turkish ar ara arabic zh chi chinese ja jpn japanese ko kor korean hu hun hungarian ro ron romanian el ell
+greek he heb hebrew hi hin hindi th tha thai forced sdh cc hearing impaired full default sub subs subtitle subtitles srt track
+""".split()
 
 
 def strip_markup(x: Column) -> Column:
@@ -18,16 +26,17 @@ def strip_markup(x: Column) -> Column:
 
 
 def bare(x: Column) -> Column:
-    return F.trim(F.regexp_replace(F.trim(strip_markup(x)), "^[-–—\\s]+", ""))
+    return F.regexp_replace(strip_markup(x), r"^[-\s]+|\s+$", "")
 
 
 def is_junk_line(x: Column) -> Column:
     """Empty once markup and dashes are gone, only notes, bracketed (closed or not), or a shouted label without words."""
     b = bare(x)
     bracketed = F.lit(False)
-    for o, c in (p for p in _PAIRS if p not in ("{}", "<>")):
+    for o, c in BRACKETS:
         bracketed |= b.startswith(o) & (b.endswith(c) | ~b.contains(c))
-    return (b == "") | b.rlike(f"^{_NOTES}$") | bracketed | b.rlike(r"^\p{Lu}[\p{Lu}\s.'-]*:$")
+    label = F.trim(F.split(b, ":", 2)[0])
+    return b.rlike(f"^[{NOTES}\\s]*$") | bracketed | (b.rlike(r"(?s)^[^:]*:\s*$") & (label != "") & ~label.rlike("[a-z]"))
 
 
 def is_credit(x: Column) -> Column:
@@ -52,19 +61,39 @@ def drop_junk(cues: DataFrame, key: str, least: int = M.MIN_CUES) -> DataFrame:
 
 
 def normalized_name(x: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(F.lower(x), "._-[](){}", "         "), " +", " "))
+    return F.trim(F.regexp_replace(F.translate(F.lower(x), "._-[]()+'", "         "), r"\s+", " "))
 
 
 def name_tokens(x: Column) -> Column:
     return F.array_distinct(F.filter(F.split(normalized_name(x), " "), lambda t: t != ""))
 
 
+def title_tokens(x: Column) -> Column:
+    """A subtitle's name without words for languages and kinds."""
+    return F.array_except(name_tokens(x), F.array(*map(F.lit, LANGUAGE_WORDS)))
+
+
 def episode_tag(x: Column) -> Column:
-    """'s01e02' from S1E2, s01e02 or 1x02; null if there is none."""
-    low = F.lower(x)
-    two = lambda p, g: F.lpad(F.regexp_extract(low, p, g).cast("int").cast("string"), 2, "0")
-    a, b = r"s(\d{1,2})e(\d{1,2})", r"\b(\d{1,2})x(\d{2})\b"
-    return F.when(low.rlike(a), F.concat(F.lit("s"), two(a, 1), F.lit("e"), two(a, 2))).when(low.rlike(b), F.concat(F.lit("s"), two(b, 1), F.lit("e"), two(b, 2)))
+    """'1x2' from S01E02, s1.e2 or 1x02; null if there is none."""
+    a, b = r"[sS](\d{1,2})[ ._-]?[eE](\d{1,3})", r"(?<!\d)(\d{1,2})x(\d{2})(?!\d)"
+    tag = lambda p: F.concat(F.regexp_extract(x, p, 1).cast("int").cast("string"), F.lit("x"), F.regexp_extract(x, p, 2).cast("int").cast("string"))
+    return F.when(x.rlike(a), tag(a)).when(x.rlike(b), tag(b))
+
+
+def language_name(x: Column, language: str) -> Column:
+    """name.xx.srt or name.srt -> name.language.srt"""
+    stem, ext = F.regexp_extract(x, r"^(.*?)(\.[^./]*)?$", 1), F.regexp_extract(x, r"(\.[^./]*)$", 1)
+    return F.concat(F.regexp_replace(stem, r"\.[^./]{2,3}$", ""), F.lit(f".{language}"), ext)
+
+
+def keep_markup(original: Column, replacement: Column) -> Column:
+    """Leading {overrides} of the original in front of a replacement that has none."""
+    return F.when(replacement.startswith("{"), replacement).otherwise(F.concat(F.regexp_extract(original, r"^((?:\{[^}]*\})*)", 1), replacement))
+
+
+def job_tokens(x: Column) -> Column:
+    """Tokens of a job line: white space parts them, except between double quotes, which go."""
+    return F.filter(F.transform(F.regexp_extract_all(x, F.lit(r'((?:[^ \t\r"]|"[^"]*(?:"|$))+)'), F.lit(1)), lambda t: F.replace(t, F.lit('"'), F.lit(""))), lambda t: t != "")
 
 
 def json_escape(x: Column) -> Column:

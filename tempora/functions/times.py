@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tempora import model as M
 
-CLOCK = r"(?:(\d+):)?(\d{1,2}):(\d{1,2})(?:[.,](\d+))?"
+CLOCK = r"^[ \t]*(?:(\d+):)?(\d+):(\d+)(?:[.,](\d+))?(?:[^:.,\d]|$)"
 
 
 def _int(x: Column, pattern: str, group: int) -> Column:

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempora.functions.text import episode_tag, name_tokens
+from tempora.functions.text import episode_tag, name_tokens, title_tokens
 
-TERMINAL = ("done", "lowconf", "skipped")
+TERMINAL = ("done", "lowconf", "undone")
 
 
 def match_videos(subtitles: DataFrame, videos: DataFrame) -> DataFrame:
     """dir, name -> video: the video of the folder whose name shares most words (half at least) among those whose episode
     doesn't differ, the first by name among equals; else the folder's only usable one."""
-    s = subtitles.select("dir", "name", name_tokens(F.col("name")).alias("st"), episode_tag(F.col("name")).alias("se"))
+    s = subtitles.select("dir", "name", title_tokens(F.col("name")).alias("st"), episode_tag(F.col("name")).alias("se"))
     v = videos.select("dir", F.col("name").alias("video"), name_tokens(F.col("name")).alias("vt"), episode_tag(F.col("name")).alias("ve"))
     both = s.join(v, "dir").where(F.col("se").isNull() | F.col("ve").isNull() | (F.col("se") == F.col("ve")))
     score = F.size(F.array_intersect("vt", "st")) / F.greatest(F.size("vt"), F.lit(1))
@@ -75,7 +75,7 @@ def verdict(sigma: Column, agreeing: Column, sure: float = 8.0) -> Column:
 
 def settle(verdict_: Column, force: Column, strict: Column) -> Column:
     """What is written: the file itself, a file beside it, or nothing."""
-    return F.when(force | (verdict_ == "solid"), "write").when((verdict_ == "unsure") & ~strict, "beside").otherwise("keep")
+    return F.when(force | (verdict_ == "solid"), "write").when(strict, "keep").otherwise("beside")
 
 
 def classify(f: DataFrame) -> DataFrame:
@@ -88,3 +88,38 @@ def classify(f: DataFrame) -> DataFrame:
         .otherwise("ratio")
     )
     return f.withColumn("mode", mode)
+
+
+# Fixed values, given by the behaviour to match: suffixes of videos and subtitles, folders that hold neither.
+VIDEO_SUFFIXES = (".mp4", ".mkv", ".avi", ".mov", ".m4v", ".ts", ".m2ts", ".mts", ".webm", ".wmv", ".mpg", ".mpeg", ".flv", ".ogv", ".ogm", ".divx", ".vob", ".rmvb", ".3gp")
+SUBTITLE_SUFFIXES = (".srt", ".ass", ".ssa", ".vtt", ".sub", ".idx", ".sup", ".smi", ".sami", ".ttml", ".dfxp", ".sbv", ".mpl2", ".lrc", ".stl", ".scc", ".mcc", ".cap", ".xml")
+SKIPPED_FOLDERS = ("@eaDir", "#recycle", "#snapshot", "lost+found", ".Trash", "@Recycle")
+
+
+def library(files: DataFrame, own: str = ".unsure") -> DataFrame:
+    """Files (dir, base, ext) with kind: hidden ones, skipped folders, own outputs and the picture data beside an .idx are left out."""
+    hidden = F.exists(F.split("dir", "/"), lambda d: d.startswith(".") | d.isin(*SKIPPED_FOLDERS)) | F.col("base").startswith(".")
+    seen = files.where(~hidden).withColumn("low", F.lower("ext"))
+    kind = F.when(F.col("low").isin(*VIDEO_SUFFIXES), "video").when(F.col("low").isin(*SUBTITLE_SUFFIXES) & ~F.col("base").endswith(own), "subtitle")
+    pictures = seen.where("low = '.idx'").select("dir", "base", F.lit(".sub").alias("low")).distinct()
+    return seen.withColumn("kind", kind).where("kind is not null").join(pictures, ["dir", "base", "low"], "left_anti").drop("low")
+
+
+def video_folder(folders: DataFrame, videos: DataFrame) -> DataFrame:
+    """dir, video_dir: the folder itself if it holds videos, else its parent if that does, else null."""
+    v = videos.select(F.col("dir").alias("video_dir")).distinct()
+    f = folders.select("dir", F.regexp_extract("dir", "^(.*/)[^/]+/$", 1).alias("parent"))
+    own, above = v.withColumnRenamed("video_dir", "own"), v.withColumnRenamed("video_dir", "above")
+    return f.join(own, f.dir == own.own, "left").join(above, f.parent == above.above, "left").select("dir", F.coalesce("own", "above").alias("video_dir"))
+
+
+def result(unchanged: Column, written: Column, verdict_: Column, sigma: Column, least: Column) -> Column:
+    """done or lowconf: unchanged counts as done, a guess or nothing written as lowconf, and so does what is below the least confidence."""
+    done = unchanged | (written & (verdict_ == "solid"))
+    return F.when(done & ~F.coalesce((least > 0) & (sigma < least), F.lit(False)), "done").otherwise("lowconf")
+
+
+def update(df: DataFrame, chosen: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
+    """df with values set in the rows whose keys are among chosen."""
+    t = df.join(chosen.select(*keys).distinct().withColumn("chosen_", F.lit(True)), keys, "left")
+    return t.withColumns({c: F.when(F.col("chosen_"), v).otherwise(F.col(c)) for c, v in values.items()}).drop("chosen_")

@@ -109,6 +109,50 @@ def overlap_score(ref: DataFrame, cues: DataFrame, key: str, shift: int = 0) ->
     return overlap_join(a, b, key).groupBy(key).agg(F.sum(F.col("w") * shared / longer).alias("score"), F.count(F.lit(1)).alias("pairs"))
 
 
+def overlap_scores(ref: DataFrame, variants: DataFrame, key: str, variant: str) -> DataFrame:
+    """key, variant, score: overlap_score for each variant of the cues (ratios or offsets), in one join and one aggregation."""
+    a = ref.select(key, F.col("start_ms").alias("a_start"), F.col("end_ms").alias("a_end"), F.col("weight").alias("w"))
+    b = variants.select(key, variant, F.col("start_ms").alias("b_start"), F.col("end_ms").alias("b_end"))
+    shared = F.least("a_end", "b_end") - F.greatest("a_start", "b_start")
+    longer = F.greatest(F.col("a_end") - F.col("a_start"), F.col("b_end") - F.col("b_start"))
+    return overlap_join(a, b, key).groupBy(key, variant).agg(F.sum(F.col("w") * shared / longer).alias("score"))
+
+
+def refine(ref: DataFrame, cues: DataFrame, key: str, reach: int, step: int) -> DataFrame:
+    """key, offset_ms, score: the best of a small grid of offsets around zero, the first among equals."""
+    grid = F.explode(F.sequence(F.lit(-reach), F.lit(reach), F.lit(step))).alias("x")
+    moved = cues.select(key, grid, "start_ms", "end_ms").withColumns({c: F.col(c) + F.col("x") for c in ("start_ms", "end_ms")})
+    best = Window.partitionBy(key).orderBy(F.desc(F.round("score", 6)), "x")
+    return overlap_scores(ref, moved, key, "x").withColumn("k", F.row_number().over(best)).where("k = 1").select(key, F.col("x").alias("offset_ms"), F.round("score", 4).alias("score"))
+
+
+def fold_glue(spans: DataFrame, key: str, gap: int = 200, least: int = M.MIN_SPEECH_MS) -> DataFrame:
+    """Speech spans (start_ms, end_ms, weight) closer than gap joined, with their weights blended by the lengths so far, gaps included; short ones go.
+
+    The blend depends on the order, so it is a fold over each timeline's sorted array."""
+    step = """aggregate(array_sort(collect_list(struct(start_ms as s, end_ms as e, cast(weight as double) as w))), cast(array() as array<struct<s:int,e:int,w:double>>),
+      (acc, x) -> case when size(acc) > 0 and x.s - element_at(acc, -1).e < {gap}
+        then concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).s as s, x.e as e,
+          (element_at(acc, -1).w * (element_at(acc, -1).e - element_at(acc, -1).s) + x.w * (x.e - x.s)) / greatest(element_at(acc, -1).e - element_at(acc, -1).s + x.e - x.s, 1) as w)))
+        else concat(acc, array(x)) end)"""
+    out = spans.groupBy(key).agg(F.expr(step.format(gap=gap)).alias("a")).select(key, F.explode("a").alias("x"))
+    return out.select(key, F.col("x.s").alias("start_ms"), F.col("x.e").alias("end_ms"), F.col("x.w").alias("weight")).where(F.col("end_ms") - F.col("start_ms") >= least)
+
+
+def apart(points: DataFrame, key: str, value: str, confidence: str, gap: int = M.JUMP_MS, least: float = 0.02) -> DataFrame:
+    """Values kept in order if sure enough and farther than gap from the one kept last: a fold over each timeline's array."""
+    step = f"aggregate(array_sort(collect_list(case when {confidence} >= {least} then {value} end)), cast(array() as array<int>), (acc, x) -> case when size(acc) = 0 or abs(x - element_at(acc, -1)) > {gap} then concat(acc, array(cast(x as int))) else acc end)"
+    return points.groupBy(key).agg(F.expr(step).alias("a")).select(key, F.posexplode("a").alias("anchor_no", value))
+
+
+def levels(frames: DataFrame, key: str, order: str, value: str, start: float = 0.05, keep: float = 0.995) -> DataFrame:
+    """key, order, level, gain: the exponential moving level and the gain to a target level, clamped to [0.5, 40]; a fold over each timeline's array."""
+    step = f"""aggregate(array_sort(collect_list(struct({order} as k, cast({value} as double) as v))), cast(array() as array<struct<k:int,l:double>>),
+      (acc, x) -> concat(acc, array(struct(x.k as k, (case when size(acc) = 0 then double({start}) else element_at(acc, -1).l end) * double({keep}) + x.v * double({1 - keep:.6g}) as l))))"""
+    out = frames.groupBy(key).agg(F.expr(step).alias("a")).select(key, F.explode("a").alias("x"))
+    return out.select(key, F.col("x.k").alias(order), F.col("x.l").alias("level"), F.least(F.greatest(start / F.greatest(F.col("x.l"), F.lit(1e-5)), F.lit(0.5)), F.lit(40.0)).alias("gain"))
+
+
 def nearest_point(probes: DataFrame, points: DataFrame, key: str, at: str = "at_ms") -> DataFrame:
     """probes with before, after (nearest points at or before, at or after) and nearest (ties: the earlier)."""
     cols = [c for c in probes.columns if c not in (key, at)]
@@ -153,6 +197,17 @@ def sweep(ref: DataFrame, cues: DataFrame, key: str, most: int = M.MAX_OFFSET_MS
     return curve.withColumn("k", F.row_number().over(best)).where("k = 1").select(key, F.col("x").alias("offset_ms"), F.round("f", 4).alias("score"))
 
 
+def curve(ref: DataFrame, cues: DataFrame, key: str, reach: int, step: int, most: int = M.MAX_OFFSET_MS) -> DataFrame:
+    """key, offset_ms, score on a grid of offsets: the piecewise-linear integral of the slope events, read off between its corners."""
+    w = Window.partitionBy(key).orderBy("x")
+    line = slope_events(ref, cues, key, most).select(key, "x", F.sum("ds").over(w).alias("slope"), F.lead("x").over(w).alias("nx"))
+    area = F.sum(F.col("slope") * (F.col("nx") - F.col("x"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    line = line.withColumn("f", F.coalesce(area, F.lit(0.0))).withColumn("nx", F.coalesce("nx", F.col("x") + 1)).where((F.col("x") <= reach) & (F.col("nx") > -reach))
+    first, last = F.ceil(F.greatest(F.col("x"), F.lit(-reach)) / step) * step, F.least(F.col("nx") - 1, F.lit(reach))
+    grid = F.when(first <= last, F.sequence(first.cast("bigint"), last.cast("bigint"), F.lit(step).cast("bigint")))
+    return line.select(key, "x", "f", "slope", F.explode(grid).alias("g")).select(key, F.col("g").cast("int").alias("offset_ms"), F.round(F.col("f") + F.col("slope") * (F.col("g") - F.col("x")) + 1e-7, 4).alias("score"))
+
+
 def slices(df: DataFrame, key: str, order: str, count: int = 8) -> DataFrame:
     """df with slice_no: equal parts, the last taking the remainder; timelines of fewer than four rows have none."""
     w, all_ = Window.partitionBy(key).orderBy(order), Window.partitionBy(key)
@@ -243,7 +298,7 @@ def shot_changes(keys: DataFrame, key: str) -> DataFrame:
     gaps = keys.select(key, "at_ms").distinct().withColumn("gap", F.col("at_ms") - F.lag("at_ms").over(w))
     mid = gaps.groupBy(key).agg(upper_median("gap").alias("mid"), F.count(F.lit(1)).alias("n"), F.max("gap").alias("top"))
     mixed = gaps.join(mid, key)
-    stats = mixed.groupBy(key, "mid", "n", "top").agg(F.sum((F.abs(F.col("gap") - F.col("mid")) < 100).cast("int")).alias("regular"), F.sum((F.col("top") - F.col("gap") <= 80).cast("int")).alias("longest"))
+    stats = mixed.groupBy(key, "mid", "n", "top").agg(F.sum((F.abs(F.col("gap") - F.col("mid")) <= 100).cast("int")).alias("regular"), F.sum((F.col("top") - F.col("gap") <= 80).cast("int")).alias("longest"))
     good = stats.where((F.col("n") >= 8) & (F.col("mid") >= 400) & (F.col("regular") * 2 <= F.col("n") - 1)).select(key, "top", "longest")
     return gaps.join(good, key).where(F.col("gap").isNull() | (F.col("longest") < 3) | (F.col("top") - F.col("gap") > 80)).select(key, "at_ms")
 

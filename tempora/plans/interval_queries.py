@@ -118,10 +118,8 @@ sc as (select film_id, ratio, sum(weight * (least(t.end_ms, c.end_ms) - greatest
 k as (select *, row_number() over (partition by film_id order by round(s, 6) desc, ratio) as k from sc) select film_id, round(ratio, 6) as ratio, round(s, 4) as score from k where k = 1""")
 def framerate_search(t: DataFrame, c: DataFrame) -> DataFrame:
     """The ratio, of a few, under which the cues overlap the reference best."""
-    each = None
-    for ratio in (0.96, 1.0, 25 / 24):
-        s = I.overlap_score(t, I.stretch(c, ratio), "film_id").select("film_id", F.lit(ratio).alias("ratio"), F.col("score").alias("s"))
-        each = s if each is None else each.union(s)
+    ratios = F.explode(F.array(*map(F.lit, (0.96, 1.0, 25 / 24)))).alias("ratio")
+    each = I.overlap_scores(t, c.select("film_id", ratios, "start_ms", "end_ms").withColumns({x: I.trunc_int(F.col(x) * F.col("ratio")) for x in ("start_ms", "end_ms")}), "film_id", "ratio").withColumnRenamed("score", "s")
     w = Window.partitionBy("film_id").orderBy(F.desc(F.round("s", 6)), "ratio")
     return each.withColumn("k", F.row_number().over(w)).where("k = 1").select("film_id", F.round("ratio", 6).alias("ratio"), F.round("s", 4).alias("score"))
 
@@ -232,7 +230,7 @@ def best_cut(f: DataFrame) -> DataFrame:
 
 @query("keyframes", sql=f"""with g as (select film_id, at_ms, at_ms - lag(at_ms) over (partition by film_id order by at_ms) as gap from keyframes),
 m as (select film_id, list_sort(list(gap) filter (where gap is not null))[count(gap) // 2 + 1] as mid, count(*) as n, max(gap) as top from g group by film_id),
-s as (select film_id, mid, n, top, count(*) filter (where abs(gap - mid) < 100) as regular, count(*) filter (where top - gap <= 80) as longest from g join m using (film_id) group by film_id, mid, n, top)
+s as (select film_id, mid, n, top, count(*) filter (where abs(gap - mid) <= 100) as regular, count(*) filter (where top - gap <= 80) as longest from g join m using (film_id) group by film_id, mid, n, top)
 select film_id, at_ms from g join s using (film_id) where n >= 8 and mid >= 400 and regular * 2 <= n - 1 and (gap is null or longest < 3 or top - gap > 80)""")
 def shot_changes(k: DataFrame) -> DataFrame:
     return I.shot_changes(k, "film_id")
@@ -292,11 +290,9 @@ def fps_from_length(t: DataFrame) -> DataFrame:
 select film_id, round(sum(s) / 5.0, 4) as mean, round(sqrt(greatest(0, sum(s * s) / 5.0 - (sum(s) / 5.0) * (sum(s) / 5.0))), 2) as sd from s group by film_id""")
 def null_baseline(t: DataFrame, c: DataFrame) -> DataFrame:
     """Mean and population deviation of the overlap at a fixed table of offsets."""
-    each = None
-    for x in (0, -1400, -700, 700, 1400):
-        a = t.select("film_id", F.col("start_ms").alias("a_start"), F.col("end_ms").alias("a_end"))
-        b = c.select("film_id", (F.col("start_ms") + x).alias("b_start"), (F.col("end_ms") + x).alias("b_end"))
-        s = I.overlap_join(a, b, "film_id").groupBy("film_id").agg(F.sum(F.least("a_end", "b_end") - F.greatest("a_start", "b_start")).alias("s"))
-        each = s if each is None else each.union(s)
+    offsets = F.explode(F.array(*map(F.lit, (0, -1400, -700, 700, 1400)))).alias("x")
+    a = t.select("film_id", F.col("start_ms").alias("a_start"), F.col("end_ms").alias("a_end"))
+    b = c.select("film_id", offsets, "start_ms", "end_ms").select("film_id", "x", (F.col("start_ms") + F.col("x")).alias("b_start"), (F.col("end_ms") + F.col("x")).alias("b_end"))
+    each = I.overlap_join(a, b, "film_id").groupBy("film_id", "x").agg(F.sum(F.least("a_end", "b_end") - F.greatest("a_start", "b_start")).alias("s"))
     mean = F.sum("s") / 5.0
     return each.groupBy("film_id").agg(F.round(mean, 4).alias("mean"), F.round(F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("s").cast("double") * F.col("s")) / 5.0 - mean * mean)), 2).alias("sd"))

@@ -10,9 +10,9 @@ from tempora.functions import times as T
 from tempora.operators import catalog as C
 from tempora.plans.registry import query
 
-BARE = """regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '<[^<>]*>|\\{{[^{{}}]*\\}}', '', 'g'), '<[^<>]*>|\\{{[^{{}}]*\\}}', '', 'g'), '<[^<>]*>|\\{{[^{{}}]*\\}}', '', 'g'), '[>}}]', '', 'g')), '^[-–—\\s]+', ''), '^ +| +$', '', 'g')"""
+BARE = """regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '<[^<>]*>|\\{{[^{{}}]*\\}}', '', 'g'), '<[^<>]*>|\\{{[^{{}}]*\\}}', '', 'g'), '<[^<>]*>|\\{{[^{{}}]*\\}}', '', 'g'), '[>}}]', '', 'g'), '^[-\\s]+|\\s+$', '', 'g')"""
 _CREDIT = " or ".join(f"contains(lower(text), '{m}')" for m in X.CREDITS)
-_JUNK = "(b = '' or regexp_full_match(b, '[♪♫#*~\\s]+') or " + " or ".join(f"(starts_with(b, '{o}') and (ends_with(b, '{c}') or not contains(b, '{c}')))" for o, c in ("[]", "()", "（）", "【】")) + " or regexp_full_match(b, '\\p{Lu}[\\p{Lu}\\s.''-]*:'))"
+_JUNK = f"(regexp_full_match(b, '[{X.NOTES}\\s]*') or " + " or ".join(f"(starts_with(b, '{o}') and (ends_with(b, '{c}') or not contains(b, '{c}')))" for o, c in X.BRACKETS) + " or (regexp_full_match(b, '[^:]*:\\s*') and trim(split_part(b, ':', 1)) <> '' and not regexp_matches(trim(split_part(b, ':', 1)), '[a-z]')))"
 
 
 @query("lines", sql=f"with b as (select *, {BARE.format(x='text')} as b from lines) select film_id, cue_no, (trim(text) = '' or {_CREDIT} or {_JUNK}) as junk from b")
@@ -26,7 +26,7 @@ def drop_junk_cues(l: DataFrame) -> DataFrame:
     return X.drop_junk(l.withColumn("start_ms", F.col("cue_no") * 1000 + 5).withColumn("end_ms", F.col("cue_no") * 1000 + 905), "film_id").drop("text")
 
 
-CLOCK = r"(?:(\d+):)?(\d{1,2}):(\d{1,2})(?:[.,](\d+))?"
+CLOCK = T.CLOCK
 
 
 @query("stamps", sql=f"""with g as (select film_id, span_no, regexp_extract(stamp, '{CLOCK}', 1)::bigint * 3600000 + regexp_extract(stamp, '{CLOCK}', 2)::bigint * 60000 + regexp_extract(stamp, '{CLOCK}', 3)::bigint * 1000 + rpad(regexp_extract(stamp, '{CLOCK}', 4), 3, '0')::bigint as ms from stamps)
@@ -60,8 +60,8 @@ def snap_ratio(t: DataFrame) -> DataFrame:
 
 
 _NAMES = "select 'd' || (o_custkey % 300) as dir, 'The.Show_' || o_custkey % 7 || '-S' || o_orderkey % 3 || 'E' || o_custkey % 4 || '.' || o_orderkey as name from orders where o_orderkey % 5 {op} 0"
-_TOK = "list_distinct(list_filter(string_split(regexp_replace(translate(lower(name), '._-[](){}', '         '), ' +', ' ', 'g'), ' '), lambda t: t <> ''))"
-_EP = "case when regexp_matches(lower(name), 's(\\d{1,2})e(\\d{1,2})') then 's' || lpad(regexp_extract(lower(name), 's(\\d{1,2})e(\\d{1,2})', 1), 2, '0') || 'e' || lpad(regexp_extract(lower(name), 's(\\d{1,2})e(\\d{1,2})', 2), 2, '0') end"
+_TOK = "list_distinct(list_filter(string_split(regexp_replace(translate(lower(name), '._-[]()+''', '         '), '\\s+', ' ', 'g'), ' '), lambda t: t <> ''))"
+_EP = "case when regexp_matches(name, '[sS](\\d{1,2})[ ._-]?[eE](\\d{1,3})') then cast(regexp_extract(name, '[sS](\\d{1,2})[ ._-]?[eE](\\d{1,3})', 1)::int as varchar) || 'x' || cast(regexp_extract(name, '[sS](\\d{1,2})[ ._-]?[eE](\\d{1,3})', 2)::int as varchar) end"
 
 
 @query("orders", sql=f"""with s as (select *, {_TOK} as t, {_EP} as e from ({_NAMES.format(op='<>')}) q), v as (select dir, name as video, {_TOK} as vt, {_EP} as ve from ({_NAMES.format(op='=')}) q),
@@ -73,7 +73,7 @@ def episode_match(o: DataFrame) -> DataFrame:
     return C.match_videos(names.where("o_orderkey % 5 <> 0"), names.where("o_orderkey % 5 = 0"))
 
 
-@query("jobs", sql="select id, (id % 3 = 0 or (id % 17 = 0) or (status not in ('done', 'lowconf', 'skipped') and attempts < 3)) as needs_work from jobs")
+@query("jobs", sql="select id, (id % 3 = 0 or (id % 17 = 0) or (status not in ('done', 'lowconf', 'undone') and attempts < 3)) as needs_work from jobs")
 def job_needs_work(j: DataFrame) -> DataFrame:
     pairs = j.select("id", "video_path", "srt_path", F.lit(100.0).alias("mtime"))
     return C.needs_work(pairs, j.where("id % 3 <> 0").withColumn("srt_mtime", F.when(F.col("id") % 17 == 0, 90.0).otherwise(100.5))).select("id", "needs_work")
@@ -123,7 +123,7 @@ def sibling_folder(j: DataFrame) -> DataFrame:
 
 
 @query("measured", sql="""with m as (select film_id, max(sigma) as sigma, count(*) filter (where offset_ms < 1000) as agreeing, avg(cast(offset_ms < 1000 as int)) as agreement from measured group by film_id), v as (select *, case when sigma < 6 then 'nothing' when sigma >= 8 and agreeing >= 3 then 'solid' else 'unsure' end as verdict from m)
-select film_id, verdict, round(agreement, 6) as agreement, case when film_id % 7 = 0 or verdict = 'solid' then 'write' when verdict = 'unsure' and film_id % 3 <> 0 then 'beside' else 'keep' end as action,
+select film_id, verdict, round(agreement, 6) as agreement, case when film_id % 7 = 0 or verdict = 'solid' then 'write' when film_id % 3 = 0 then 'keep' else 'beside' end as action,
  to_json({'verdict': verdict, 'sigma': cast(round(sigma, 1) as varchar), 'agreeing': agreeing}) as report from v""")
 def verdict(m: DataFrame) -> DataFrame:
     near = F.col("offset_ms") < 1000
