@@ -148,8 +148,7 @@ def _linker(radius: int):
         held = None
         for pdf in batches:
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            key = (pdf["bucket"].to_numpy() * 1_000_003) ^ pdf["part"].to_numpy()
-            key = np.cumsum(np.r_[False, (np.diff(pdf["bucket"].to_numpy()) != 0) | (np.diff(pdf["part"].to_numpy()) != 0)]) if len(key) else key
+            key = np.cumsum(np.r_[False, (np.diff(pdf["bucket"].to_numpy()) != 0) | (np.diff(pdf["part"].to_numpy()) != 0)])[: len(pdf)]
             end = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last bucket may go on in the next batch
             held = pdf.iloc[end:]
             if end:
