@@ -1,9 +1,9 @@
 """Operator 4: main text of web pages by wrapper induction.
 
-Pages of a host are aligned where they lie: each task keeps one tree a host as its pattern and aligns every other
-page to it by simple tree matching. What the alignments say (blocks with equal text at a path; how many
-were aligned) is summed over all tasks by host, path and text, so a host's template rests on all its pages
-and no host is ever gathered in one place. Blocks whose text is constant, and paths outside the article whose
+Pages of a host are brought together in groups of about CHUNK, dealt by a hash of the page; in each, the first page
+with text by id is the pattern, and every other page is aligned to it by simple tree matching. What the alignments say
+(blocks with equal text at a path; how many were aligned) is summed over all groups by host, path and text, so a
+host's template rests on all its pages, however they are partitioned, and no large host is gathered in one place. Blocks whose text is constant, and paths outside the article whose
 blocks mostly are, become template; varying slots become content, unless their element's role says that it
 is a menu, header, footer, sidebar, notice, advert, form or comment. Pairs of pages whose content agrees too are
 copies and prove nothing.
@@ -31,6 +31,8 @@ RESULT = "page_id long, url string, text string, n_chars long"
 STATS = "host string, path string, hash long, n long, aligned long"
 #: A block or path is template if constant in this share of its host's alignments, and in so many at least.
 SHARE, LEAST = 0.5, 3
+#: Pages of a host that are aligned to one pattern, on average at most.
+CHUNK = 256
 #: A template of more rows than this is joined instead of sent to every task.
 SMALL = 100_000
 
@@ -184,7 +186,8 @@ def hashed(text: str) -> int:
 
 
 def _evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    patterns: dict[str, tuple[int, Node]] = {}
+    """Of rows in order of host and salt."""
+    group, pattern = None, None
     for pdf in batches:
         seen: dict[tuple[str, str, int], list[int]] = {}
 
@@ -193,16 +196,17 @@ def _evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             n[0] += constant
             n[1] += 1
 
-        for host, page in zip(pdf["host"].tolist(), pdf["html"].tolist(), strict=True):
+        for host, salt, page in zip(pdf["host"].tolist(), pdf["salt"].tolist(), pdf["html"].tolist(), strict=True):
             key = xxhash.xxh64_intdigest(page)
-            if host not in patterns:
-                if len(patterns) >= 2000:
-                    patterns.clear()
-                patterns[host] = (key, parse(page))
+            if group != (host, salt):
+                group, pattern = (host, salt), None
+            if pattern is None:
+                tree = parse(page)
+                pattern = (key, tree) if blocks(tree) else None
                 continue
-            if patterns[host][0] == key:
+            if pattern[0] == key:
                 continue
-            pairs = [(p, s, t) for p, s, t in align(patterns[host][1], parse(page))[1]]
+            pairs = [(p, s, t) for p, s, t in align(pattern[1], parse(page))[1]]
             if sum(len(s) for _, s, t in pairs if s == t) * 2 > sum(len(s) for _, s, _ in pairs):
                 continue  # copies of one article
             add(host, "", 0, True)
@@ -221,9 +225,17 @@ def _rows(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host.alias("host"))
 
 
+def _grouped(rows: DataFrame) -> DataFrame:
+    """host, salt, html, with groups of host and salt together and in one order whatever the partitioning."""
+    large = rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") > CHUNK).select("host", F.ceil(F.col("pages") / CHUNK).cast("long").alias("chunks"))
+    salt = F.coalesce(F.pmod(F.xxhash64("page_id", "url", "html"), F.col("chunks")), F.lit(0))
+    dealt = rows.join(F.broadcast(large), "host", "left").select("host", salt.alias("salt"), "page_id", "html")  # a CHUNKth of the pages at most
+    return dealt.repartition("host", "salt").sortWithinPartitions("host", "salt", "page_id", "html").select("host", "salt", "html")
+
+
 def induce(pages: DataFrame) -> DataFrame:
     """host, path, hash: the template. hash 0: the path as a whole; else a block's text."""
-    sums = materialize(_rows(pages).select("host", "html").mapInPandas(_evidence, STATS).groupBy("host", "path", "hash").agg(F.sum("n").alias("n"), F.sum("aligned").alias("aligned")), "evidence")
+    sums = materialize(_grouped(_rows(pages)).mapInPandas(_evidence, STATS).groupBy("host", "path", "hash").agg(F.sum("n").alias("n"), F.sum("aligned").alias("aligned")), "evidence")
     pairs = sums.where("path = ''").select(F.col("host").alias("of"), F.col("n").alias("pairs"))
     enough = (F.col("n") >= LEAST) & (F.col("n") >= SHARE * F.when(F.col("hash") == 0, F.col("aligned")).otherwise(F.col("pairs")))
     return sums.where("path <> ''").join(pairs, sums.host == pairs.of).where(enough).select("host", "path", "hash")

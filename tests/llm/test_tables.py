@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tests.llm.conftest import ODD, SF
 
 from tempora.llm import chat, cover_tree, queries, simhash, warc, wrapper
@@ -154,6 +155,18 @@ def test_op4(spark):
     assert [t for _, t in wrapper.blocks(wrapper.parse("<div><span>a</span>b <script>x</script></div>c<!-- d"))] == ["ab", "c"]
 
 
+def test_op4_aligns_pages_of_a_host_across_partitions(spark, monkeypatch):
+    page = "<body><div>Site of things</div><p>text {0} of its own kind {0}</p><div>All rights kept</div></body>"
+    rows = [(10 * h + i, f"http://h{h}.org/{i}", page.format(f"w{h}x{i}")) for i in range(6) for h in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {r[0]: f"text {w} of its own kind {w}" for r in rows for w in [f"w{r[0] // 10}x{r[0] % 10}"]}
+    for n in (1, 7, 120):
+        assert {r["page_id"]: r["text"] for r in wrapper.extract(df.repartition(n)).collect()} == want
+    monkeypatch.setattr(wrapper, "CHUNK", 3)
+    one = df.withColumn("url", F.lit("http://one.org/"))
+    assert {r["page_id"]: r["text"] for r in wrapper.extract(one.repartition(40)).collect()} == want
+
+
 def test_simple_tree_matching_aligns_in_order():
     a, b = wrapper.parse("<ul><li>a<li>x<li>c</ul><p>k"), wrapper.parse("<ul><li>a<li>c</ul><p>k")
     score, pairs = wrapper.align(a, b)
