@@ -5,7 +5,9 @@ with text by id is the pattern, and every other page is aligned to it by simple
 (blocks with equal text at a path; how many were aligned) is summed over all groups by host, path and text, so a
 host's template rests on all its pages, however they are partitioned, and no large host is gathered in one place. Blocks whose text is constant, and paths outside the article whose
 blocks mostly are, become template; varying slots become content, unless their element's role says that it
-is a menu, header, footer, sidebar, notice, advert, form or comment. Pairs of pages whose content agrees too are
+is a menu, header, footer, sidebar, notice, advert, form or comment. Article and main elements are evidence: what varies
+inside them is the text, unless the host's alignments have shown slots outside that hold more of the page's varying text
+than they do; then both are. Only where a host has no such evidence does the element alone decide. Pairs of pages whose content agrees too are
 copies and prove nothing.
 
 Null and empty html, and html without text, give an empty text. Unclosed and stray tags are tolerated. Repeated
@@ -31,6 +33,8 @@ RESULT = "page_id long, url string, text string, n_chars long"
 STATS = "host string, path string, hash long, n long, aligned long"
 #: A block or path is template if constant in this share of its host's alignments, and in so many at least.
 SHARE, LEAST = 0.5, 3
+#: In place of a text's hash: the path as a whole is template; the path is a slot whose text varies.
+PATH, SLOT = 0, 1
 #: Pages of a host that are aligned to one pattern, on average at most.
 CHUNK = 256
 #: A template of more rows than this is joined instead of sent to every task.
@@ -62,8 +66,9 @@ def _child(parent: Node, tag: str, attrs: str) -> Node:
     names = f"{got.get('class', '')} {got.get('id', '')}".strip()
     key = f"{tag}.{names}" if names else tag
     main = tag in ("article", "main") or got.get("role") == "main"
-    whole = tag in ("html", "body", "article", "main")
-    dropped = tag in _DROP or "hidden" in got or got.get("aria-hidden") == "true" or (not whole and (bool(names and _ROLE.search(names)) or got.get("role") in _ARIA))
+    whole = tag in ("html", "body", "main")
+    named = any(_ROLE.match(n) for n in names.split()) if tag == "article" else bool(names and _ROLE.search(names))  # an article's classes also list its topics
+    dropped = tag in _DROP or "hidden" in got or got.get("aria-hidden") == "true" or (not whole and (named or got.get("role") in _ARIA))
     return Node(tag, key, f"{parent.path}/{key}", parent.dropped or dropped, parent.main or main)
 
 
@@ -234,20 +239,20 @@ def _grouped(rows: DataFrame) -> DataFrame:
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """host, path, hash: the template. hash 0: the path as a whole; else a block's text."""
+    """host, path, hash: the template. hash PATH: the path as a whole; SLOT: the path varies; else a block's text."""
     sums = materialize(_grouped(_rows(pages)).mapInPandas(_evidence, STATS).groupBy("host", "path", "hash").agg(F.sum("n").alias("n"), F.sum("aligned").alias("aligned")), "evidence")
     pairs = sums.where("path = ''").select(F.col("host").alias("of"), F.col("n").alias("pairs"))
     enough = (F.col("n") >= LEAST) & (F.col("n") >= SHARE * F.when(F.col("hash") == 0, F.col("aligned")).otherwise(F.col("pairs")))
-    return sums.where("path <> ''").join(pairs, sums.host == pairs.of).where(enough).select("host", "path", "hash")
+    slot = (F.col("hash") == PATH) & (F.col("aligned") >= LEAST) & (F.col("n") < SHARE * F.col("aligned"))
+    return sums.where("path <> ''").join(pairs, sums.host == pairs.of).where(enough | slot).select("host", "path", F.when(slot, F.lit(SLOT)).otherwise(F.col("hash")).cast("long").alias("hash"))
 
 
 def text_of(page: str, template: set[tuple[str, int]]) -> str:
-    found = blocks(parse(page))
-    if any(parent.main for parent, _ in found):
-        kept = [t for parent, t in found if parent.main and (parent.path, hashed(t)) not in template]
-    else:
-        kept = [t for parent, t in found if (parent.path, 0) not in template and (parent.path, hashed(t)) not in template]
-    return " ".join(kept)
+    kept = [(x, t) for x, t in blocks(parse(page)) if (x.path, PATH) not in template and (x.path, hashed(t)) not in template]
+    inside = sum(len(t) for x, t in kept if x.main)
+    if inside and sum(len(t) for x, t in kept if not x.main and (x.path, SLOT) in template) <= inside:
+        kept = [(x, t) for x, t in kept if x.main]
+    return " ".join(t for _, t in kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -167,6 +167,21 @@ def test_op4_aligns_pages_of_a_host_across_partitions(spark, monkeypatch):
     assert {r["page_id"]: r["text"] for r in wrapper.extract(one.repartition(40)).collect()} == want
 
 
+def test_op4_takes_article_as_evidence(spark):
+    body = "the real body of page {0} stands here and is much longer than what it teases {0}"
+    kinds = {
+        "a": f"<div class=top>Site of things</div><article class='comment first'>reader {{0}} says</article><div class=c>{body}</div>",
+        "b": f"<div class=top>Site of things</div><article class=teaser>teaser {{0}}</article><div class=c>{body}</div>",
+        "c": f"<div class=top>Site of things</div><article class='post category-social'><h1>title {{0}}</h1><p>{body}</p></article><div class=c>aside {{0}}</div>",
+    }
+    rows = [(100 * k + i, f"http://{h}.org/{i}", html.format(f"x{k}y{i}")) for k, (h, html) in enumerate(kinds.items()) for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(8):
+        assert got[i] == body.format(f"x0y{i}")
+        assert got[100 + i] == f"teaser x1y{i} " + body.format(f"x1y{i}")
+        assert got[200 + i] == f"title x2y{i} " + body.format(f"x2y{i}")
+
+
 def test_simple_tree_matching_aligns_in_order():
     a, b = wrapper.parse("<ul><li>a<li>x<li>c</ul><p>k"), wrapper.parse("<ul><li>a<li>c</ul><p>k")
     score, pairs = wrapper.align(a, b)
