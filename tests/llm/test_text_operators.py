@@ -96,6 +96,11 @@ def test_op8_on_documents_and_odd_rows(spark, odd):
     assert packing.pack(odd.limit(0), RANKS).count() == 0
 
 
+def test_op8_takes_special_tokens_in_texts_as_text(documents):
+    texts = [(1, "a <|endoftext|> b"), (2, "<|endoftext|><|endoftext|>"), (3, "x<|endoftext|")]
+    packed_well(packing.pack(documents([(i, t, "a") for i, t in texts]), RANKS).collect(), texts)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 40), max_size=120))
 def test_plan_uses_every_piece_once(lengths):
