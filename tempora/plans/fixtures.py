@@ -33,8 +33,10 @@ SQL = {
     "files": ("orders", """select concat('/m/', case cast(o_custkey % 9 as int) when 0 then '@eaDir/' when 1 then '.hidden/' else concat('d', cast(o_custkey % 60 as varchar(20)), '/') end) as dir, concat(case when o_orderkey % 23 = 0 then '.' else '' end, 'f', cast(o_orderkey % 4000 as varchar(20)), case when o_orderkey % 19 = 0 then '.unsure' else '' end) as base,
         case cast(o_orderkey % 6 as int) when 0 then '.mkv' when 1 then '.SRT' when 2 then '.idx' when 3 then '.sub' when 4 then '.nfo' else '.vtt' end as ext from orders"""),
 }
-#: The same with whole lines.
-SQL["whole_lines"] = ("documents", re.sub(r"substr\(line, 1, \d+\)", "line", SQL["lines"][1]))
+#: The same with whole lines, and with every key at times too wide for an int.
+for _name in ("lines", "srt_lines"):
+    SQL[f"whole_{_name}"] = ("documents", re.sub(r"substr\(line, 1, \d+\)", "line", SQL[_name][1]))
+SQL["whole_keyframes"] = ("orders", "select distinct o_custkey % 50 as film_id, cast(o_orderkey as bigint) * 400 + (cast(o_orderkey as bigint) * o_custkey) % 371 as at_ms from orders")
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
 _FILL = {
     "spark": {"us": "unix_micros(cast(ts as timestamp))", "n": 20, "note": "♪", "exploded": "select doc_id, pos, line from documents lateral view posexplode(split(text, '\\n')) t as pos, line"},

@@ -231,7 +231,7 @@ def best_cut(f: DataFrame) -> DataFrame:
 @query("keyframes", sql=f"""with g as (select film_id, at_ms, at_ms - lag(at_ms) over (partition by film_id order by at_ms) as gap from keyframes),
 m as (select film_id, list_sort(list(gap) filter (where gap is not null))[count(gap) // 2 + 1] as mid, count(*) as n, max(gap) as top from g group by film_id),
 s as (select film_id, mid, n, top, count(*) filter (where abs(gap - mid) <= 100) as regular, count(*) filter (where top - gap <= 80) as longest from g join m using (film_id) group by film_id, mid, n, top)
-select film_id, at_ms from g join s using (film_id) where n >= 8 and mid >= 400 and regular * 2 <= n - 1 and (gap is null or longest < 3 or top - gap > 80)""")
+select film_id, at_ms from g join s using (film_id) where n >= 8 and mid >= 400 and regular * 2 <= n - 1 and (gap is null or longest < 3 or top - gap > 80)""", whole="whole_keyframes")
 def shot_changes(k: DataFrame) -> DataFrame:
     return I.shot_changes(k, "film_id")
 

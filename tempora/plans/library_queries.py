@@ -15,13 +15,13 @@ _CREDIT = " or ".join(f"contains(lower(text), '{m}')" for m in X.CREDITS)
 _JUNK = f"(regexp_full_match(b, '[{X.NOTES}\\s]*') or " + " or ".join(f"(starts_with(b, '{o}') and (ends_with(b, '{c}') or not contains(b, '{c}')))" for o, c in X.BRACKETS) + " or (regexp_full_match(b, '[^:]*:\\s*') and trim(split_part(b, ':', 1)) <> '' and not regexp_matches(trim(split_part(b, ':', 1)), '[a-z]')))"
 
 
-@query("lines", sql=f"with b as (select *, {BARE.format(x='text')} as b from lines) select film_id, cue_no, (trim(text) = '' or {_CREDIT} or {_JUNK}) as junk from b")
+@query("lines", sql=f"with b as (select *, {BARE.format(x='text')} as b from lines) select film_id, cue_no, (trim(text) = '' or {_CREDIT} or {_JUNK}) as junk from b", whole="whole_lines")
 def junk_cues(l: DataFrame) -> DataFrame:
     return l.select("film_id", "cue_no", X.is_junk_cue(F.col("text")).alias("junk"))
 
 
 @query("lines", sql=f"""with b as (select *, {BARE.format(x='text')} as b from lines), j as (select film_id, cue_no, (trim(text) = '' or {_CREDIT} or {_JUNK}) as junk from b), r as (select *, count(*) filter (where not junk) over (partition by film_id) as n from j)
-select film_id, cue_no, case when junk and n >= 10 then 0 else cue_no * 1000 + 5 end as start_ms, case when junk and n >= 10 then 0 else cue_no * 1000 + 905 end as end_ms from r""")
+select film_id, cue_no, case when junk and n >= 10 then 0 else cue_no * 1000 + 5 end as start_ms, case when junk and n >= 10 then 0 else cue_no * 1000 + 905 end as end_ms from r""", whole="whole_lines")
 def drop_junk_cues(l: DataFrame) -> DataFrame:
     return X.drop_junk(l.withColumn("start_ms", F.col("cue_no") * 1000 + 5).withColumn("end_ms", F.col("cue_no") * 1000 + 905), "film_id").drop("text")
 

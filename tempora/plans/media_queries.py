@@ -51,7 +51,7 @@ def heard_words(t: DataFrame) -> DataFrame:
 @query("srt_lines", sql="""with f as (select *, trim(line) = '' as blank, regexp_matches(line, '^\\s*(\\d{1,3}:)?\\d{1,2}:\\d{2}[.,]\\d{1,3}\\s*-->') as tm, regexp_matches(line, '^\\s*\\d+\\s*$') as cn from srt_lines),
 g as (select *, coalesce(lag(blank) over w, true) as gap, coalesce(lead(tm) over w, false) as bt, sum(cast(blank as int)) over w as para from f window w as (partition by film_id order by line_no)),
 b as (select *, max(cast(not blank and not tm and not cn and gap and regexp_matches(trim(line), '^(WEBVTT|NOTE|STYLE|REGION)\\b') as int)) over (partition by film_id, para order by line_no) as ib from g)
-select film_id, line_no, line from b where not blank and not tm and not cn and ib = 0 and not bt""")
+select film_id, line_no, line from b where not blank and not tm and not cn and ib = 0 and not bt""", whole="whole_srt_lines")
 def translatable_lines(l: DataFrame) -> DataFrame:
     return A.translatable(l, "film_id")
 

@@ -12,13 +12,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(*names: str, sql: str | None = None):
-    """Register a function of the named fixtures' DataFrames."""
+def query(*names: str, sql: str | None = None, whole: str | None = None):
+    """Register a function of the named fixtures' DataFrames; with whole, also a twin whole_... that reads this fixture for the first one."""
 
     def add(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         QUERIES[f.__name__] = lambda spark, sf_dir: f(*[fixtures.load(spark, sf_dir, n) for n in names])
         if sql:
             ORACLE[f.__name__] = fixtures.with_duck(names, sql)
+        if whole:
+            twin = (whole, *names[1:])
+            QUERIES[f"whole_{f.__name__}"] = lambda spark, sf_dir: f(*[fixtures.load(spark, sf_dir, n) for n in twin])
+            if sql:
+                ORACLE[f"whole_{f.__name__}"] = fixtures.with_duck(twin, sql.replace(f"from {names[0]}", f"from {whole}"))
         return f
 
     return add
