@@ -1,16 +1,20 @@
 """Operator 10: embedding near-duplicates, by dual traversal of cover trees.
 
-Equal vectors of a label are one class, with a weight. A bounded sample of pivots (the classes of smallest
-hash, one for PER_PIVOT classes, PIVOTS at most) is the top level: each class goes to the cell of its nearest pivot, cells of over CELL classes are
-split, and cells record their covering radius. Two cells of a label are compared only if their pivots are no
-farther apart than both radii and the threshold distance. For each such pair of cells, a cover tree is built
-over either side, levels with halving radii, and both are descended together; a pair of nodes whose covering
-balls are too far apart is pruned, and pairs of leaves are compared by a product in double precision.
-Nothing is approximate: pruning follows the triangle inequality on unit vectors. Each pair of cells returns
-counts of links, and a spanning forest of its links.
+Equal vectors of a label are one class, with a weight. A bounded sample of pivots (the classes of smallest hash, one
+for PER_PIVOT classes of the largest label, PIVOTS at most) is the top level. Each class is an owner in the cell of its
+nearest pivot, and visits a cell of a lower pivot only if it is no farther from that pivot than the cell's covering
+radius and the threshold distance together; so each pair meets in one cell at most, and no pair of cells is listed.
+Owners and visitors of a cell are dealt to chunks of about CELL, and chunks of owners meet chunks of either.
+
+Where two chunks meet, each becomes a cover tree, levels with halving radii down to single vectors, and both are
+descended together. A pair of nodes whose covering balls are too far apart is pruned; one whose balls are so close
+that every pair of members is a link is counted whole; what is left is compared in double precision. Nothing is
+approximate: both bounds follow from the triangle inequality on unit vectors. A meeting returns counts of links and a
+spanning forest of its links, an edge for a vector at most.
 
 Links: same label (not null), same number of components, cosine >= threshold. Vectors that are null, zero,
-empty, or hold null or non-finite components, and rows with a null label or vec_id, link with nothing.
+empty, or hold null or non-finite components, and rows with a null label or vec_id, link with nothing. Components
+are scaled by a power of two first, so that very large and very small ones neither overflow nor vanish.
 Rows that repeat a vec_id count as vectors of their own. An empty table gives no rows; extra columns are ignored.
 """
 
@@ -18,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -27,87 +32,182 @@ from pyspark.sql import functions as F
 from tempora.llm.common import materialize
 from tempora.llm.components import components
 
-THRESHOLD, PIVOTS, PER_PIVOT, CELL, LEAF = 0.93, 256, 4096, 1024, 32
+THRESHOLD, PIVOTS, PER_PIVOT, CELL, LEAF = 0.93, 1024, 4096, 2048, 16
 _SLACK = 1e-9
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, the largest component of each then being in [0.5, 1): exact, and safe to square."""
+    top = np.abs(v).max(1, keepdims=True)
+    exponent = np.frexp(top)[1]
+    return np.ldexp(v, -exponent)
+
+
+def unit(v: np.ndarray) -> np.ndarray:
+    v = scaled(v)
+    return v / np.sqrt((v * v).sum(1))[:, None]
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Between unit vectors; may be off by up to 1e-7 for near ones, which callers allow for."""
+    return np.sqrt(np.maximum(0, 2 - 2 * (a @ b.T)))
+
+
+@dataclass
 class Node:
-    __slots__ = ("center", "children", "members", "radius")
-
-    def __init__(self, center: int, radius: float, members: np.ndarray, children: list[Node]):
-        self.center, self.radius, self.members, self.children = center, radius, members, children
-
-
-def build(unit: np.ndarray, members: np.ndarray | None = None, center: int = 0) -> Node:
-    """A tree over rows of unit: children's centers are over half the radius apart and cover their members within it."""
-    members = np.arange(len(unit)) if members is None else members
-    far = np.sqrt(((unit[members] - unit[center]) ** 2).sum(1))
-    radius = float(far.max())
-    if len(members) <= LEAF or radius < 1e-6:
-        return Node(center, radius, members, [])
-    parts, rest, c, limit = [], members, center, max(4, len(members) // 8)
-    while len(rest) and len(parts) <= limit:
-        near = ((unit[rest] - unit[c]) ** 2).sum(1) <= (radius / 2) ** 2
-        parts.append((c, rest[near]))
-        rest = rest[~near]
-        c = int(rest[0]) if len(rest) else -1
-    if len(rest) or len(parts) == 1:  # nothing is near anything at this level: more levels would not prune
-        return Node(center, radius, members, [])
-    return Node(center, radius, members, [build(unit, m, c) for c, m in parts])
-
-
-def links(a: np.ndarray, b: np.ndarray | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions (in a, in b) of pairs with cosine >= threshold; within a, each pair once, if b is None."""
-    na = np.sqrt((a * a).sum(1))
-    ua = a / na[:, None]
-    b_, nb, ub = (a, na, ua) if b is None else (b, n := np.sqrt((b * b).sum(1)), b / n[:, None])
-    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + _SLACK
-    top = build(ua)
-    stack = [(top, top if b is None else build(ub))]
-    while stack:
-        x, y = stack.pop()
-        if math.sqrt(((ua[x.center] - ub[y.center]) ** 2).sum()) > reach + x.radius + y.radius + _SLACK:
-            continue
-        if not x.children and not y.children:
-            i, j = np.nonzero(ua[x.members] @ ub[y.members].T >= threshold - _SLACK)
-            i, j = x.members[i], y.members[j]
-            if b is None and x is y:
-                i, j = i[i < j], j[i < j]
-            ok = np.einsum("ij,ij->i", a[i], b_[j]) / (na[i] * nb[j]) >= threshold
-            if ok.any():
-                yield i[ok], j[ok]
-        elif b is None and x is y:
-            stack += [(c, d) for k, c in enumerate(x.children) for d in x.children[k:]]
-        elif x.children and (not y.children or x.radius >= y.radius):
-            stack += [(c, y) for c in x.children]
+    """members in order of children, the center first; all lie within radius of it. Children that are single vectors are only listed in centers."""
+
+    members: np.ndarray
+    radius: float
+    centers: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    radii: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    children: list[Node | None] = field(default_factory=list)
+
+    def parts(self) -> tuple[np.ndarray, np.ndarray, list]:
+        """Centers, radii and nodes of its children; without any, its own."""
+        return (self.centers, self.radii, self.children) if self.children else (self.members[:1], np.asarray([self.radius]), [self])
+
+
+#: What float error may add to a distance of unit vectors: sqrt of a few units in the last place.
+_ERROR = 1e-7
+
+
+def net(u: np.ndarray, members: np.ndarray, reach: float) -> tuple[list[int], np.ndarray]:
+    """Centers over reach apart, in order of members, and for each member the number of the first center within reach of it."""
+    centers: list[int] = []
+    of = np.full(len(members), -1)
+    for i in range(0, len(members), 256):
+        block = members[i : i + 256]
+        if centers:
+            near = distances(u[block], u[centers]) <= reach
+            of[i : i + 256] = np.where(near.any(1), near.argmax(1), -1)
+        left = np.flatnonzero(of[i : i + 256] < 0)
+        if len(left):
+            near = distances(u[block[left]], u[block[left]]) <= reach
+            for k in range(len(left)):
+                if of[i + left[k]] < 0:
+                    free = left[near[k] & (of[i + left] < 0)]
+                    of[i + free] = len(centers)
+                    of[i + left[k]] = len(centers)
+                    centers.append(int(block[left[k]]))
+    return centers, of
+
+
+def build(u: np.ndarray, members: np.ndarray, center: int) -> Node:
+    """The cover tree of members: the children's centers are over half the radius apart and cover what is theirs within it."""
+    radius = float(distances(u[members], u[[center]]).max()) + _ERROR
+    if len(members) <= LEAF or radius <= 4 * _ERROR:
+        return Node(members, radius)
+    first = np.r_[center, members[members != center]]
+    centers, of = net(u, first, radius / 2)
+    order = np.argsort(of, kind="stable")
+    parts = np.split(first[order], np.flatnonzero(np.diff(of[order])) + 1)
+    children = [None if len(p) == 1 else build(u, p, c) for p, c in zip(parts, centers, strict=True)]
+    return Node(np.concatenate(parts), radius, np.asarray(centers), np.asarray([0.0 if c is None else c.radius for c in children]), children)
+
+
+class Links:
+    """Counts of links and components of the vectors a, then b (none: a with itself)."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray | None, weights: np.ndarray, threshold: float):
+        self.raw = scaled(a if b is None else np.concatenate([a, b]))
+        self.norm = np.sqrt((self.raw * self.raw).sum(1))
+        self.u, self.weights, self.threshold = self.raw / self.norm[:, None], weights, threshold
+        self.n, self.root, self.computed = np.zeros(len(self.raw), np.int64), np.arange(len(self.raw)), 0
+        self.far = math.sqrt(max(0.0, 2 - 2 * threshold)) + 2 * _ERROR  # beyond it, no link
+        self.sure = math.sqrt(max(0.0, 2 - 2 * threshold - _SLACK)) - 2 * _ERROR  # within it, a link for certain
+        top = build(self.u, np.arange(len(a)), 0)
+        if b is None:
+            self.within(top)
+        elif len(b):
+            self.between(top, build(self.u, np.arange(len(a), len(self.raw)), len(a)))
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        while True:
+            p, q = self.root[i], self.root[j]
+            if (differ := p != q).any():
+                low, high = np.minimum(p, q)[differ], np.maximum(p, q)[differ]
+                np.minimum.at(self.root, high, low)
+                while (self.root != (up := self.root[self.root])).any():
+                    self.root = up
+            else:
+                return
+
+    def whole(self, x: np.ndarray, y: np.ndarray | None) -> None:
+        """Every pair of x and y is a link; every pair within x, if y is None."""
+        w = self.weights
+        if y is None:
+            self.n[x] += w[x].sum() - w[x]
+            self.join(x[1:], np.full(len(x) - 1, x[0]))
         else:
-            stack += [(x, d) for d in y.children]
+            self.n[x] += w[y].sum()
+            self.n[y] += w[x].sum()
+            both = np.r_[x, y]
+            self.join(both[1:], np.full(len(both) - 1, both[0]))
+
+    def pairs(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Pairs that may be links are compared as the definition says."""
+        for k in range(0, len(i), 1 << 18):
+            a, b = i[k : k + (1 << 18)], j[k : k + (1 << 18)]
+            ok = np.einsum("ij,ij->i", self.raw[a], self.raw[b]) / (self.norm[a] * self.norm[b]) >= self.threshold
+            a, b = a[ok], b[ok]
+            np.add.at(self.n, a, self.weights[b])
+            np.add.at(self.n, b, self.weights[a])
+            self.join(a, b)
+
+    def leaves(self, x: np.ndarray, y: np.ndarray | None) -> None:
+        y_ = x if y is None else y
+        self.computed += len(x) * len(y_)
+        cos = self.u[x] @ self.u[y_].T >= self.threshold - _SLACK
+        i, j = np.nonzero(np.triu(cos, 1) if y is None else cos)
+        self.pairs(x[i], y_[j])
+
+    def within(self, top: Node) -> None:
+        stack = [top]
+        while stack:
+            x = stack.pop()
+            if 2 * x.radius <= self.sure:
+                self.whole(x.members, None)
+            elif not x.children:
+                self.leaves(x.members, None)
+            else:
+                stack += [c for c in x.children if c is not None]
+                self.between(x, x)
+
+    def between(self, x: Node, y: Node) -> None:
+        """Members of x with those of y; if they are one node, those of different children of it."""
+        stack = [(x, y)]
+        while stack:
+            x, y = stack.pop()
+            if not x.children and not y.children:
+                self.leaves(x.members, y.members)
+                continue
+            (a, ra, of_a), (b, rb, of_b) = x.parts(), y.parts()
+            d, reach = distances(self.u[a], self.u[b]), ra[:, None] + rb
+            self.computed += d.size
+            live = d <= self.far + reach
+            i, j = np.nonzero(np.triu(live, 1) if x is y else live)
+            single = np.asarray([c is None for c in of_a])[i] & np.asarray([c is None for c in of_b])[j]
+            self.pairs(a[i[single]], b[j[single]])
+            i, j = i[~single], j[~single]
+            for k, m, sure in zip(i.tolist(), j.tolist(), (d[i, j] + reach[i, j] <= self.sure).tolist(), strict=True):
+                p, q = of_a[k] or Node(a[[k]], 0.0), of_b[m] or Node(b[[m]], 0.0)
+                if sure:
+                    self.whole(p.members, q.members)
+                else:
+                    stack.append((p, q))
 
 
 def _compare(threshold: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v, rep, m, side = np.stack(pdf["v"].to_numpy()).astype(float), pdf["rep"].to_numpy(), pdf["m"].to_numpy(), pdf["side"].to_numpy()
-        first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        n, root, edges = np.zeros(len(v), np.int64), list(range(len(v))), []
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        if len(first) and (len(second) or not pdf["two"].iat[0]):
-            for i, j in links(v[first], v[second] if pdf["two"].iat[0] else None, threshold):
-                i, j = first[i], (second if pdf["two"].iat[0] else first)[j]
-                np.add.at(n, i, m[j])
-                np.add.at(n, j, m[i])
-                for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                    if (p := find(x)) != (q := find(y)):
-                        root[p] = q
-                        edges.append((rep[x], rep[y], 0))
-        rows = [(rep[k], None, n[k]) for k in np.flatnonzero(n)] + edges
-        out = pd.DataFrame(rows, columns=["a", "b", "n"])
-        return out.astype({"a": "int64", "b": "Int64", "n": "int64"})
+        first = (pdf["side"] == 0).to_numpy()
+        pdf = pd.concat([pdf[first], pdf[~first]])
+        v, rep, k, alone = np.stack(pdf["v"].to_numpy()).astype(float), pdf["rep"].to_numpy(np.int64), int(first.sum()), bool(pdf["alone"].iat[0])
+        if not k or (k == len(v)) != alone:
+            return pd.DataFrame({"a": [], "b": [], "n": []}).astype("int64")
+        got = Links(v[:k], None if alone else v[k:], pdf["m"].to_numpy(np.int64), threshold)
+        has = np.flatnonzero(got.n)
+        return pd.DataFrame({"a": rep[has], "b": rep[got.root[has]], "n": got.n[has]})
 
     return run
 
@@ -118,52 +218,60 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     sound = F.expr("vec_id is not null and label is not null and size(v) > 0 and forall(v, x -> x is not null and abs(x) < double('inf')) and exists(v, x -> x <> 0)")
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
     classes = materialize(rows.where("sound").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m")), "classes")
-    wanted = min(PIVOTS, 1 + classes.count() // PER_PIVOT)
+    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    wanted = min(PIVOTS, 1 + largest // PER_PIVOT)
     picked = classes.orderBy(F.xxhash64("v"), "rep").limit(wanted).select("v").collect()  # PIVOTS rows at most
     by_size: dict[int, list[int]] = {}
     for k, r in enumerate(picked):
         by_size.setdefault(len(r["v"]), []).append(k)
-    unit = [np.asarray(r["v"]) / np.linalg.norm(r["v"]) for r in picked]
-    tops = {d: (np.asarray(ks), np.stack([unit[k] for k in ks])) for d, ks in by_size.items()}
+    tops = {d: (np.asarray(ks), unit(np.asarray([picked[k]["v"] for k in ks]))) for d, ks in by_size.items()}
+
+    def to_pivots(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(positions, numbers of the pivots of their size, distances from these), some rows at a time."""
+        size = pdf["v"].map(len).to_numpy()
+        for d in np.unique(size):
+            at = np.flatnonzero(size == d)
+            if d in tops:
+                for i in range(0, len(at), 1024):
+                    yield at[i : i + 1024], tops[d][0], distances(unit(np.stack(pdf["v"].iloc[at[i : i + 1024]].to_numpy())), tops[d][1])
 
     def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pivot, far = np.full(len(pdf), -1), np.full(len(pdf), 2.0)
-            size = pdf["v"].map(len).to_numpy()
-            for d in np.unique(size):
-                if d in tops:
-                    at = np.flatnonzero(size == d)
-                    x = np.stack(pdf["v"].iloc[at].to_numpy())
-                    cos = (x / np.linalg.norm(x, axis=1)[:, None]) @ tops[d][1].T
-                    pivot[at], far[at] = tops[d][0][cos.argmax(1)], np.sqrt(np.maximum(0, 2 - 2 * cos.max(1)))
-            yield pdf.assign(pivot=pivot, far=far, dim=size)
+            pivot, far = np.full(len(pdf), -1), np.full(len(pdf), 2.0)  # -1: no pivot has as many components
+            for at, ks, d in to_pivots(pdf):
+                pivot[at], far[at] = ks[d.argmin(1)], d.min(1)
+            yield pdf.assign(pivot=pivot, far=far, dim=pdf["v"].map(len).astype("int32"))
 
     fields = f"label {dict(classes.dtypes)['label']}, v array<double>, rep long, m long, pivot int, far double, dim int"
     homes = materialize(classes.mapInPandas(home, fields), "homes")
-    groups = ["label", "dim", "pivot"]
-    sizes = materialize(homes.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")), "sizes")
-    points = materialize(homes.join(sizes, groups).withColumn("sub", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / CELL))).drop("n"), "points")
-    cells = materialize(points.groupBy(*groups, "sub").agg(F.max("far").alias("far")).withColumn("cell", F.monotonically_increasing_id()), "cells")
-    reach = math.sqrt(2 - 2 * threshold) + _SLACK
+    cover = np.full(len(picked), -1.0)
+    for r in homes.where("pivot >= 0").groupBy("pivot").agg(F.max("far").alias("far")).collect():  # PIVOTS rows at most
+        cover[r["pivot"]] = r["far"]
+    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 4 * _ERROR
 
-    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            p, q = pdf["p"].to_numpy(), pdf["q"].to_numpy()
-            d = np.asarray([0.0 if i < 0 or j < 0 else math.sqrt(((unit[i] - unit[j]) ** 2).sum()) for i, j in zip(p, q, strict=True)])
-            yield pdf.loc[d <= pdf["far"].to_numpy() + reach + _SLACK, ["x", "y"]]
-
-    x = cells.select("label", "dim", F.col("cell").alias("x"), F.col("pivot").alias("p"), F.col("far").alias("fx"))
-    y = cells.select("label", "dim", F.col("cell").alias("y"), F.col("pivot").alias("q"), F.col("far").alias("fy"))
-    pairs = x.join(y, ["label", "dim"]).where("x <= y").select("x", "y", "p", "q", (F.col("fx") + F.col("fy")).alias("far"))
-    pairs = materialize(pairs.mapInPandas(close, "x long, y long"), "pairs")
-    dealt = points.join(cells.drop("far"), [*groups, "sub"]).select("cell", "rep", "m", "v")
-    two = (F.col("x") != F.col("y")).alias("two")
-    sides = dealt.join(pairs, dealt.cell == pairs.x).select("x", "y", two, F.lit(0).alias("side"), "rep", "m", "v").union(
-        dealt.join(pairs, dealt.cell == pairs.y).where("x <> y").select("x", "y", two, F.lit(1).alias("side"), "rep", "m", "v")
-    )
-    found = materialize(sides.groupBy("x", "y").applyInPandas(_compare(threshold), "a long, b long, n long"), "found")
-    groups_of = components(found.where("b is not null").select("a", "b"))
-    counts = found.where("n > 0").groupBy("a").agg(F.sum("n").alias("n"))
+            own, to = pdf["pivot"].to_numpy(), [[-1]] * len(pdf)
+            for at, ks, d in to_pivots(pdf):
+                near = (ks < own[at][:, None]) & (d <= cover[ks] + reach)
+                for i, row in zip(at.tolist(), near, strict=True):
+                    to[i] = [int(own[i]), *ks[row].tolist()]
+            yield pdf.drop(columns="far").assign(to=to)
+
+    spread = homes.mapInPandas(visits, fields.replace("far double", "to array<int>").replace("pivot int, to array<int>, dim int", "pivot int, dim int, to array<int>"))
+    spread = spread.select("label", "dim", F.explode("to").alias("cell"), "pivot", "v", "rep", "m").withColumn("owner", F.col("cell") == F.col("pivot")).drop("pivot")
+    spread = materialize(spread, "spread")
+    cells = ["label", "dim", "cell"]
+    share = lambda mine: F.ceil(F.sum(mine.cast("long")) / CELL).cast("int")
+    sizes = materialize(spread.groupBy(*cells).agg(share(F.col("owner")).alias("g"), share(~F.col("owner")).alias("h")), "sizes").where("g > 0")
+    chunk = F.pmod(F.xxhash64("rep"), F.when(F.col("owner"), F.col("g")).otherwise(F.col("h"))).cast("int")
+    # chunk i of the owners meets itself, those after it, and each chunk of the visitors
+    meetings = F.expr("""case when owner then concat(transform(sequence(c, g + h - 1), j -> struct(c as i, j as j, 0 as side)), filter(transform(sequence(0, c), i -> struct(i as i, c as j, 1 as side)), x -> x.i < c))
+        else transform(sequence(0, g - 1), i -> struct(i as i, g + c as j, 1 as side)) end""")
+    dealt = spread.join(sizes, cells).withColumn("c", chunk).select(*cells, F.explode(meetings).alias("x"), "rep", "m", "v").select(*cells, "x.*", "rep", "m", "v").withColumn("alone", F.col("i") == F.col("j"))
+    found = materialize(dealt.groupBy(*cells, "i", "j").applyInPandas(_compare(threshold), "a long, b long, n long"), "found")
+    groups_of = components(found.where("a <> b").select("a", "b"))
+    counts = found.groupBy("a").agg(F.sum("n").alias("n"))
     known = classes.join(counts, classes.rep == counts.a, "left").join(groups_of, classes.rep == groups_of.node, "left")
     known = materialize(known.select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "known")
     linked = rows.where("sound").join(known, ["label", "v"]).select("vec_id", "n_links", "component_id")
