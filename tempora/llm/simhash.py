@@ -1,12 +1,14 @@
 """Operator 6: SimHash near-duplicates, with bit-sliced comparison.
 
 Each distinct fingerprint is compared once, whatever its number of copies. 64 bits are cut into
-radius + 2 parts; two fingerprints within the radius agree on at least two parts, so each is dealt to one
-bucket for each two parts and no link is lost. A bucket that holds more than CHUNK fingerprints is dealt
-again, as pairs of chunks. Within a bucket the fingerprints stand vertically, one 64-bit plane for each bit,
-64 fingerprints in a word; carry-save adders count the differing bits of all lanes at once, and a query
-stops as soon as all its lanes have more than the radius. Only a spanning forest of each bucket's links
-leaves it: a group of n near copies yields n - 1 edges, not n * n.
+radius + k parts; two fingerprints within the radius agree on at least k parts, so each is dealt to one
+bucket for each k parts and no link is lost. k grows with the number of fingerprints: keys become wider and
+more, so that chance meetings in a bucket stay few at any size. A bucket that holds more than CHUNK fingerprints
+is dealt again, as pairs of chunks. Within a bucket the fingerprints stand vertically, one 64-bit plane for each
+bit, 64 fingerprints in a word; carry-save adders count the differing bits of all lanes at once, and a query
+stops as soon as all its lanes have more than the radius; buckets of up to FEW, far fewer than a word's lanes, are
+compared pair by pair. Only a spanning forest of each bucket's links leaves it: a group of n near copies yields
+n - 1 edges, not n * n.
 
 Null and empty texts have fingerprint zero, linked like any other. Rows with a null doc_id get their
 fingerprint's component if a row with an id shares it, else null. Repeated rows give repeated results; an
@@ -27,7 +29,9 @@ from pyspark.sql import functions as F
 from tempora.llm.common import documents_only, materialize
 from tempora.llm.components import components
 
-SHINGLE, RADIUS, SEED, CHUNK = 4, 4, 42, 1024
+SHINGLE, RADIUS, SEED, CHUNK, FEW = 4, 4, 42, 1024, 8
+#: Fingerprints that a bucket of random ones may hold on average before keys get wider.
+CROWD = 4
 _U = np.uint64
 _ALL = _U(0xFFFFFFFFFFFFFFFF)
 
@@ -133,16 +137,18 @@ def _linker(radius: int):
         at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[at, len(key)])
         a, b = [], []
-        two = at[size == 2]
-        near = np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius
-        a.append(rep[two[near]])
-        b.append(rep[two[near] + 1])
-        for i, n in zip(at[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+        for n in range(2, FEW + 1):
+            first = at[size == n]
+            for i, j in itertools.combinations(range(n), 2):
+                near = first[np.bitwise_count(fp[first + i] ^ fp[first + j]) <= radius]
+                a.append(rep[near + i])
+                b.append(rep[near + j])
+        for i, n in zip(at[size > FEW].tolist(), size[size > FEW].tolist(), strict=True):
             if edges := spanning(fp[i : i + n], radius):
                 e = np.asarray(edges)
                 a.append(rep[i + e[:, 0]])
                 b.append(rep[i + e[:, 1]])
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -159,33 +165,72 @@ def _linker(radius: int):
     return run
 
 
-def buckets(fp: str, radius: int) -> list:
-    """A column for each two of radius + 2 parts of the bits: which two, and what they hold."""
-    parts = radius + 2
+def agreeing(n: int, radius: int) -> int:
+    """k: on how many of radius + k parts the fingerprints of a bucket agree, for n fingerprints."""
+    k = 2
+    while k < 5 and n > CROWD << (64 * k // (radius + k)):
+        k += 1
+    return k
+
+
+def buckets(fp: str, radius: int, k: int = 2) -> list:
+    """A column for each k of radius + k parts of the bits: a hash of which they are and what they hold."""
+    parts = radius + k
     edge = [64 * i // parts for i in range(parts + 1)]
-    part = [F.shiftrightunsigned(fp, edge[i]).bitwiseAND(F.lit((1 << (edge[i + 1] - edge[i])) - 1)) for i in range(parts)]
-    width = max(edge[i + 1] - edge[i] for i in range(parts))
-    return [F.shiftleft(part[i], width).bitwiseOR(part[j]) + F.lit(k << (2 * width)) for k, (i, j) in enumerate(itertools.combinations(range(parts), 2))]
+    mask = lambda chosen: sum(((1 << (edge[i + 1] - edge[i])) - 1) << edge[i] for i in chosen)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    return [F.xxhash64(F.lit(m), F.col(fp).bitwiseAND(F.lit(signed(mask(chosen))))) for m, chosen in enumerate(itertools.combinations(range(parts), k))]
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fingerprint, component_id."""
-    if not 0 <= radius < 8:
-        raise ValueError("the radius must be from 0 to 7")
-    each = materialize(fingerprints(docs, shingle), "fingerprints")
-    distinct = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    rows = distinct.where("rep is not null").select(F.explode(F.array(*buckets("fp", radius))).alias("bucket"), "fp", "rep")
+def _classes(each: DataFrame, radius: int) -> DataFrame:
+    """fp, component (a fp of its component, the same for all): of (fp) with repeats."""
+    distinct = materialize(each.select("fp").distinct(), "distinct")
+    n = distinct.count()
+    rows = distinct.select(F.explode(F.array(*buckets("fp", radius, agreeing(n, radius)))).alias("bucket"), "fp")
     shared = materialize(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     chunks = F.ceil(F.col("n") / CHUNK).cast("long")
-    dealt = rows.join(shared, "bucket").select("bucket", "fp", "rep", chunks.alias("g")).withColumn("mine", F.pmod(F.xxhash64("fp"), "g"))
-    dealt = dealt.select("bucket", F.explode(F.expr("transform(sequence(0L, g - 1), j -> least(mine, j) * g + greatest(mine, j))")).alias("part"), "fp", "rep")
-    edges = dealt.repartition("bucket", "part").sortWithinPartitions("bucket", "part").mapInPandas(_linker(radius), "a long, b long")
+    dealt = rows.join(shared, "bucket").select("bucket", "fp", chunks.alias("g")).withColumn("mine", F.pmod(F.xxhash64("fp"), "g"))
+    dealt = dealt.select("bucket", F.explode(F.expr("transform(sequence(0L, g - 1), j -> least(mine, j) * g + greatest(mine, j))")).alias("part"), "fp", F.col("fp").alias("rep"))
+    # a number of partitions given: the rows are few bytes, what is done with them isn't little
+    tasks = int(each.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = dealt.repartition(tasks, "bucket", "part").sortWithinPartitions("bucket", "part").mapInPandas(_linker(radius), "a long, b long")
     found = components(edges)
-    known = materialize(distinct.join(found, distinct.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "known")
+    return materialize(distinct.join(found, distinct.fp == found.node, "left").select("fp", F.coalesce("component", "fp").alias("component")), "classes")
+
+
+def _check(radius: int) -> None:
+    if not 0 <= radius < 8:
+        raise ValueError("the radius must be from 0 to 7")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, fingerprint, component_id."""
+    _check(radius)
+    each = materialize(fingerprints(docs, shingle), "fingerprints")
+    classes = _classes(each, radius)
+    least = each.groupBy("fp").agg(F.min("doc_id").alias("least")).join(classes, "fp")
+    smallest = materialize(least.groupBy("component").agg(F.min("least").alias("component_id")), "smallest")
+    known = materialize(classes.join(smallest, "component").select("fp", "component_id"), "known")
     return each.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """docs without all but one document, that of the smallest doc_id, of each component; rows without an id stay."""
-    kept = near_duplicates(docs, radius, shingle).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).union(docs.where("doc_id is null"))
+    """One row of docs for each component: that of the smallest doc_id (null last), the smallest hash of the text among its rows, any of those with equal texts.
+
+    Rows are told apart by a number of their own, given as they are written with their fingerprints, so repeated and null ids lose nothing else."""
+    _check(radius)
+    names = docs.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            text = pdf["text"].astype(object).where(pdf["text"].notna(), "").tolist()
+            pdf["fp_"] = np.asarray([fingerprint(t, shingle) for t in text], _U).view(np.int64)
+            yield pdf
+
+    with_fp = docs.mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", fp_ long")
+    rows = materialize(with_fp.withColumn("row_", F.monotonically_increasing_id()), "numbered")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.col("row_").alias("row"))
+    best = rows.groupBy(F.col("fp_").alias("fp")).agg(F.min(order).alias("first"))
+    best = materialize(best, "first")
+    kept = best.join(_classes(best, radius), "fp").groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("kept_"))
+    return rows.join(materialize(kept, "kept"), F.col("row_") == F.col("kept_"), "left_semi").select(*names)

@@ -63,7 +63,34 @@ def test_op6(spark, odd):
     assert Counter(map(tuple, queries.op6_simhash(spark, "/root/testdata/sf0.01").collect())) == simhash_by_brute_force(rows)
     assert Counter(map(tuple, simhash.near_duplicates(odd).collect())) == simhash_by_brute_force([(i, t) for i, t, _ in ODD])
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
-    assert Counter(r["doc_id"] for r in simhash.keep_one(odd).collect()) == {None: 1, 1: 1, 4: 1, 5: 1, 6: 1, 7: 1}
+    assert Counter(r["doc_id"] for r in simhash.keep_one(odd).collect()) == {1: 1, 4: 1, 5: 1, 6: 1, 7: 1}
+
+
+def test_keep_one_loses_no_text_to_a_shared_id(documents):
+    a, b = (" ".join(f"{w}{i}" for i in range(80)) for w in "ab")
+    rows = [(1, a, "s"), (1, b, "s"), (2, a, "s"), (None, b, "s"), (None, a + " c", "s"), (3, "other words", "s"), (3, "other words", "s"), (None, "alone here", "s"), (None, None, "s")]
+    kept = simhash.keep_one(documents(rows))
+    assert kept.columns == documents(rows).columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == {(1, a): 1, (1, b): 1, (3, "other words"): 1, (None, "alone here"): 1, (None, None): 1}
+
+
+@pytest.mark.parametrize("n", [0, 1 << 24, 1 << 30, 1 << 40])
+def test_near_fingerprints_share_a_bucket_at_any_size(spark, n):
+    k = simhash.agreeing(n, 4)
+    assert k == {0: 2, 1 << 24: 3, 1 << 30: 4, 1 << 40: 5}[n]
+    rng = np.random.default_rng(n % 97)
+    pairs = [(i, x, x ^ sum(1 << int(b) for b in rng.choice(63, rng.integers(0, 5), replace=False))) for i, x in enumerate(rng.integers(0, 2**62, 100).tolist())]
+    df = spark.createDataFrame(pairs, "i long, a long, b long")
+    got = df.select(*(F.array(*simhash.buckets(c, 4, k)).alias(c) for c in "ab")).collect()
+    assert all(any(x == y for x, y in zip(r["a"], r["b"], strict=True)) for r in got)
+    assert sum(x == y for r in got for x, y in zip(r["a"], got[0]["b"], strict=True)) < len(got) + 130  # and others hardly meet
+
+
+def test_op6_with_wider_keys(spark, documents, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD", 0)
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(f"w{i % 20}x{j}" if rng.random() > 0.02 else "z" for j in range(80)), "a") for i in range(200)]
+    assert Counter(map(tuple, simhash.near_duplicates(documents(rows)).collect())) == simhash_by_brute_force([(i, t) for i, t, _ in rows])
 
 
 @pytest.mark.parametrize("radius", [0, 1, 3, 4, 7])
@@ -121,6 +148,38 @@ def test_op10(spark, monkeypatch):
     assert cover_tree.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_cover_tree_prunes_and_takes_any_size(spark):
+    rng = np.random.default_rng(4)
+    near = rng.normal(size=(30, 64)).repeat(60, 0) + 0.03 * rng.normal(size=(1800, 64))
+    for v in (near, rng.normal(size=(1500, 4)), rng.normal(size=(600, 64))):
+        u = v / np.linalg.norm(v, axis=1)[:, None]
+        want = u @ u.T >= 0.93
+        np.fill_diagonal(want, False)
+        w = rng.integers(1, 4, len(v))
+        for k in (0, len(v) // 3):
+            part = want.copy()
+            if k:
+                part[:k, :k] = part[k:, k:] = False
+            got = cover_tree.Links(v[:k] if k else v, v[k:] if k else None, w, 0.93)
+            assert (got.n == part @ w).all()
+            assert [int(x) for x in got.root] == groups(len(v), np.argwhere(np.triu(part, 1)).tolist())
+            assert got.computed < (0.25 if len(v) > 600 else 1.01) * len(v) ** 2  # of random vectors of 64 components none can be pruned
+    huge = [(1, [1e200, 2e200], 1), (2, [1e-200, 2e-200], 1), (3, [1.0, 2.1], 1), (4, [-1.0, -2.0], 1), (5, [5e-324, 0.0], 2), (6, [1e308, 1.0], 2)]
+    got = cover_tree.near_duplicates(spark.createDataFrame(huge, "vec_id long, embedding array<double>, label int"))
+    assert {tuple(r) for r in got.collect()} == {(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True), (5, 1, 5, True), (6, 1, 5, False)}
+
+
+def test_op10_visits_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(cover_tree, "PER_PIVOT", 10)
+    monkeypatch.setattr(cover_tree, "CELL", 7)
+    rng = np.random.default_rng(8)
+    for dim in (2, 3, 40):
+        rows = [(i, [float(np.float32(x)) for x in rng.normal(size=dim)], i % 2) for i in range(200)]
+        rows += [(200 + i, [float(np.float32(x)) for x in np.asarray(rows[i % 4][1]) + 0.02 * rng.normal(size=dim)], rows[i % 4][2]) for i in range(60)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+        assert Counter(map(tuple, cover_tree.near_duplicates(df).collect())) == vectors_by_brute_force(rows)
+
+
 def test_op1(spark):
     want = duckdb.sql(chat.ORACLE.replace("from conversations", f"from '{SF}/conversations.parquet'")).fetchall()
     assert Counter(map(tuple, queries.op1_chat_rotation(spark, SF).collect())) == Counter(want)
