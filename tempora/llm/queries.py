@@ -76,5 +76,14 @@ select page_id, cast(n as bigint) as payload_bytes, payload_digest, case when pa
 """
 
 
+OP10_SQL = """
+with recursive v as (select vec_id, label, cast(embedding as double[]) as e from embeddings where label is not null and len(embedding) > 0 and not list_contains(list_transform(embedding, lambda x: coalesce(isfinite(x), false)), false) and list_contains(list_transform(embedding, lambda x: x <> 0), true)),
+link as (select a.vec_id as i, b.vec_id as j from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.93),
+reach as (select vec_id as i, vec_id as c from embeddings union select link.j, reach.c from reach join link on link.i = reach.i where reach.c < link.j),
+n as (select i, count(*) as n from link group by i)
+select vec_id, coalesce(n.n, 0) as n_links, c.c as component_id, vec_id = c.c as kept from embeddings left join n on n.i = vec_id join (select i, min(c) as c from reach group by i) c on c.i = vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_rotation": chat.ORACLE, "op4_wrapper_text": wrapper.ORACLE, "op7_warc": OP7_SQL}
+    return {"op1_chat_rotation": chat.ORACLE, "op4_wrapper_text": wrapper.ORACLE, "op5_secret_scan": secrets.ORACLE, "op7_warc": OP7_SQL, "op10_cover_tree": OP10_SQL}
