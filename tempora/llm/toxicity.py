@@ -13,6 +13,8 @@ COVER landmarks explain so far, against their share of clean texts.
 
 Training takes at most PER_CLASS labelled texts of each class, those of smallest hash among texts of at most
 LONGEST characters, and adds a variant of each toxic text with characters inserted into its most telling words.
+Where margins turn into predictions is found by FOLDS-fold cross-validation within these rows: each part's margins
+come from landmarks and weights chosen without it.
 Scoring covers every whole text; a word's values are computed once a task while they stay in a bounded cache.
 
 Null and empty texts get the score of a text without any similar word. If a class has no training rows the
@@ -36,8 +38,8 @@ from pyspark.sql import functions as F
 from tempora.llm.common import documents_only
 
 SPAN, DECAY, FLOOR, LANDMARKS, COVER, PER_CLASS, LONGEST, CUT, RATE = 6, 0.7, 0.5, 64, 3, 1500, 20_000, 0.7, 0.02
-#: Clean texts for each toxic one, where scores are cut.
-WEIGHT = 10
+#: Clean texts for each toxic one, where scores are cut; parts of the training rows whose margins come from models of the other parts.
+WEIGHT, FOLDS, SLOPE = 10, 3, 4.0
 RESULT = "doc_id long, held_out boolean, score double, predicted int"
 _WORD = re.compile(r"[^\s.,;:!?()\[\]{}\"|]+")
 _SPELLED = re.compile(r"(?<!\S)(?:\w[ .*_-]){3,}\w(?!\S)")
@@ -119,8 +121,11 @@ class Model:
     slope: float
     middle: float  # the margin whose score is 0.5
 
+    def margin(self, values: np.ndarray) -> np.ndarray:
+        return values @ self.weights + self.bias
+
     def score(self, values: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * (values @ self.weights + self.bias - self.middle), -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(self.slope * (self.margin(values) - self.middle), -40, 40)))
 
 
 def _candidates(words: Counter[str]) -> Iterator[str]:
@@ -205,13 +210,10 @@ def _pool(kernel: Kernel, texts: list[Counter[str]]) -> np.ndarray:
     return pooled(texts, known, len(kernel.landmarks))
 
 
-def train(texts: list[str], labels: list[int]) -> Model:
-    one: dict[str, str] = {}
-    words, y = [Counter({one.setdefault(w, w): n for w, n in words_of(t).items()}) for t in texts], np.asarray(labels)
+def machine(words: list[Counter[str]], y: np.ndarray, landmarks_at_most: int = LANDMARKS) -> Model:
+    """Landmarks and weights from texts of both classes; scores are not yet placed."""
     toxic, clean = ([w for w, l in zip(words, y, strict=True) if l == k] for k in (1, 0))
-    if not toxic or not clean:
-        return Model(["none"], np.zeros(2), 0.0, 1.0, 40.0)
-    landmarks = choose_landmarks(toxic, clean) or ["none"]
+    landmarks = choose_landmarks(toxic, clean, landmarks_at_most) or ["none"]
     kernel = Kernel(landmarks)
     values = _pool(kernel, words)
     rng, bent = random.Random(0), []
@@ -231,19 +233,40 @@ def train(texts: list[str], labels: list[int]) -> Model:
     target = np.r_[np.where(y == 1, 1, -1), np.ones(len(bent))]
     n1, n0 = (target == 1).sum(), (target == -1).sum()
     w, bias = svm(x, target, np.where(target == 1, 1.0, 2.0 * n1 / n0))
-    weights = both @ w
-    margin = values @ weights + bias
-    cuts = np.unique(margin)  # where margins turn into scores
+    return Model(landmarks, both @ w, bias, SLOPE, 0.0)
+
+
+def best_cut(margin: np.ndarray, y: np.ndarray) -> float:
+    """The margin from which on a text counts as toxic: the middle of those with the best F1, clean texts being WEIGHT times as frequent as toxic ones."""
+    cuts = np.unique(margin)
     cuts = np.r_[cuts[0] - 1, (cuts[1:] + cuts[:-1]) / 2]
-    rarity = WEIGHT * (y == 1).sum() / (y == 0).sum()  # clean texts are far more frequent than here
+    rarity = WEIGHT * (y == 1).sum() / (y == 0).sum()
     over = lambda k: (y == k).sum() - np.searchsorted(np.sort(margin[y == k]), cuts, "right")
     hit, wrong = over(1), over(0)
-    miss = (y == 1).sum() - hit
-    f1 = (2 * hit / np.maximum(2 * hit + miss + rarity * wrong, 1e-9)).tolist()
-    best = max(f1)
-    cut = float(np.median([c for c, f in zip(cuts, f1, strict=True) if f >= best - 1e-12]))
-    slope = 4.0
-    return Model(landmarks, weights, bias, slope, cut - math.log(CUT / (1 - CUT)) / slope)
+    f1 = 2 * hit / np.maximum(hit + (y == 1).sum() + rarity * wrong, 1e-9)
+    return float(np.median(cuts[f1 >= f1.max() - 1e-12]))
+
+
+def train(texts: list[str], labels: list[int]) -> Model:
+    """A model of all texts, its cut from the margins that each FOLDS-th of the texts has under a model of the others."""
+    one: dict[str, str] = {}
+    words, y = [Counter({one.setdefault(w, w): n for w, n in words_of(t).items()}) for t in texts], np.asarray(labels)
+    if not (y == 1).any() or not (y == 0).any():
+        return Model(["none"], np.zeros(2), 0.0, 1.0, 40.0)
+    model = machine(words, y)
+    fold = np.zeros(len(y), int)
+    for k in (0, 1):
+        fold[y == k] = np.arange((y == k).sum()) % FOLDS
+    if min((y == 1).sum(), (y == 0).sum()) >= FOLDS:
+        margin = np.zeros(len(y))
+        for f in range(FOLDS):
+            out = np.flatnonzero(fold == f)
+            other = machine([w for w, k in zip(words, fold.tolist(), strict=True) if k != f], y[fold != f])
+            margin[out] = other.margin(_pool(Kernel(other.landmarks), [words[i] for i in out.tolist()]))
+    else:
+        margin = model.margin(_pool(Kernel(model.landmarks), words))
+    model.middle = best_cut(margin, y) - math.log(CUT / (1 - CUT)) / SLOPE
+    return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
