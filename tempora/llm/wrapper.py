@@ -3,12 +3,12 @@
 Pages of a host are brought together in groups of about CHUNK, dealt by a hash of the page; in each, the first page
 with text by id is the pattern, and every other page is aligned to it by simple tree matching. What the alignments say
 (blocks with equal text at a path; how many were aligned) is summed over all groups by host, path and text, so a
-host's template rests on all its pages, however they are partitioned, and no large host is gathered in one place. Blocks whose text is constant, and paths outside the article whose
-blocks mostly are, become template; varying slots become content, unless their element's role says that it
-is a menu, header, footer, sidebar, notice, advert, form or comment. Article and main elements are evidence: what varies
-inside them is the text, unless the host's alignments have shown slots outside that hold more of the page's varying text
-than they do; then both are. Only where a host has no such evidence does the element alone decide. Pairs of pages whose content agrees too are
-copies and prove nothing.
+host's template rests on all its pages, however they are partitioned, and no large host is gathered in one place. Blocks
+whose text is constant, and paths outside the article whose blocks mostly are, become template; varying slots become
+content, unless their element's role says that it is a menu, header, footer, sidebar, notice, advert, form or comment.
+Article and main elements are evidence: what varies inside them is the text, unless the host's alignments have shown
+slots outside that hold more of the page's varying text than they do; then both are. Only where a host has no such
+evidence does the element alone decide. Pairs of pages whose content agrees too are copies and prove nothing.
 
 Null and empty html, and html without text, give an empty text. Unclosed and stray tags are tolerated. Repeated
 rows give repeated results; an empty table gives no rows; extra columns are ignored; a page without a usable URL
@@ -37,7 +37,7 @@ SHARE, LEAST = 0.5, 3
 PATH, SLOT = 0, 1
 #: Pages of a host that are aligned to one pattern, on average at most.
 CHUNK = 256
-#: A template of more rows than this is joined instead of sent to every task.
+#: Templates of more rows than this, all hosts together, are joined instead of sent to every task.
 SMALL = 100_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(script|style|noscript|template|textarea|iframe|svg|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
@@ -247,43 +247,56 @@ def induce(pages: DataFrame) -> DataFrame:
     return sums.where("path <> ''").join(pairs, sums.host == pairs.of).where(enough | slot).select("host", "path", F.when(slot, F.lit(SLOT)).otherwise(F.col("hash")).cast("long").alias("hash"))
 
 
-def text_of(page: str, template: set[tuple[str, int]]) -> str:
-    kept = [(x, t) for x, t in blocks(parse(page)) if (x.path, PATH) not in template and (x.path, hashed(t)) not in template]
+def mark(path: str, value: int) -> int:
+    """A row of the template as a number."""
+    return xxhash.xxh64_intdigest(f"{path}\0{value}")
+
+
+def text_of(page: str, template: frozenset[int]) -> str:
+    kept = [(x, t) for x, t in blocks(parse(page)) if mark(x.path, PATH) not in template and mark(x.path, hashed(t)) not in template]
     inside = sum(len(t) for x, t in kept if x.main)
-    if inside and sum(len(t) for x, t in kept if not x.main and (x.path, SLOT) in template) <= inside:
+    if inside and sum(len(t) for x, t in kept if not x.main and mark(x.path, SLOT) in template) <= inside:
         kept = [(x, t) for x, t in kept if x.main]
     return " ".join(t for _, t in kept)
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    template, rows = induce(pages), _rows(pages)
-    template = materialize(template, "template")
+def _marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame({"host": pdf["host"], "marks": [np.asarray([mark(m["path"], m["hash"]) for m in x], np.uint64).tobytes() for x in pdf["rows"].tolist()]})
 
-    def texts(pdf: pd.DataFrame, of) -> pd.DataFrame:
-        out = pdf[["page_id", "url"]].copy()
-        out["text"] = [text_of(page, of(i)) for i, page in enumerate(pdf["html"].tolist())]
-        out["n_chars"] = out["text"].map(len).astype("int64")
-        return out
 
-    if template.count() <= SMALL:
-        known: dict[str, set] = {}
-        for r in template.collect():  # SMALL rows at most
-            known.setdefault(r["host"], set()).add((r["path"], r["hash"]))
+def templates(pages: DataFrame) -> DataFrame:
+    """host, marks: the numbers of its template's rows, eight bytes each; as many as a page of the host has blocks and paths, about."""
+    rows = induce(pages).groupBy("host").agg(F.collect_list(F.struct("path", "hash")).alias("rows"))
+    return materialize(rows.mapInPandas(_marks, "host string, marks binary"), "templates")
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                hosts = pdf["host"].tolist()
-                yield texts(pdf, lambda i, hosts=hosts: known.get(hosts[i], set()))
 
-        return rows.mapInPandas(run, RESULT)
-    lists = materialize(template.groupBy("host").agg(F.collect_list(F.struct("path", "hash")).alias("marks")), "templates")
+def _extract(of):
+    """A mapInPandas function to RESULT; of: from a batch to the marks of each of its pages, as bytes."""
 
-    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sets: dict[bytes, frozenset[int]] = {}
         for pdf in batches:
-            marks = pdf["marks"].tolist()
-            yield texts(pdf, lambda i, marks=marks: {(m["path"], m["hash"]) for m in marks[i]} if marks[i] is not None else set())
+            if len(sets) > 256:
+                sets.clear()
+            marks = [bytes(x) if x is not None else b"" for x in of(pdf)]
+            for x in set(marks).difference(sets):
+                sets[x] = frozenset(np.frombuffer(x, np.uint64).tolist())
+            out = pdf[["page_id", "url"]].copy()
+            out["text"] = [text_of(page, sets[x]) for page, x in zip(pdf["html"].tolist(), marks, strict=True)]
+            out["n_chars"] = out["text"].map(len).astype("int64")
+            yield out
 
-    return rows.join(lists, "host", "left").mapInPandas(joined, RESULT)
+    return run
+
+
+def extract(pages: DataFrame) -> DataFrame:
+    """page_id, url, text, n_chars. Templates go to every task if they are small, else to their host's pages by a join, in which Spark splits a large host."""
+    lists, rows = templates(pages), _rows(pages)
+    if (lists.agg(F.sum(F.octet_length("marks"))).first()[0] or 0) <= 8 * SMALL:
+        known = {r["host"]: bytes(r["marks"]) for r in lists.collect()}  # SMALL marks at most
+        return rows.mapInPandas(_extract(lambda pdf: map(known.get, pdf["host"].tolist())), RESULT)
+    return rows.join(lists, "host", "left").mapInPandas(_extract(lambda pdf: pdf["marks"].tolist()), RESULT)
 
 
 #: Pages whose article holds nothing but headings, paragraphs and inline elements.
