@@ -18,10 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor and the driver can see: spark.checkpoint.dir, else (tests) a new one."""
+    """The folder that every executor and the driver can see: spark.checkpoint.dir, else (tests on a local master, nowhere else) a new one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         kept = spark.sparkContext.getCheckpointDir()
+        if not kept and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = kept or "file://" + tempfile.mkdtemp(prefix="tempora-")
         if not kept:
             spark.sparkContext.setCheckpointDir(path)

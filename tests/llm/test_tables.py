@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tests.llm.conftest import ODD, SF
 
 from tempora.llm import chat, cover_tree, queries, simhash, warc, wrapper
-from tempora.llm.common import table
+from tempora.llm.common import shared_dir, table
 from tempora.llm.components import components
 
 
@@ -29,6 +29,14 @@ def groups(n, links):
     return [find(i) for i in range(n)]
 
 
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Elsewhere:
+        conf, sparkContext = {}, type("Context", (), {"master": "spark://host:7077", "getCheckpointDir": lambda self: None})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Elsewhere())
+
+
 def test_components(spark):
     rng = np.random.default_rng(0)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (180, 2))] + [(i, i + 1) for i in range(300, 380)] + [(400, i) for i in range(401, 450)]

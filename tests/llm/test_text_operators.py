@@ -252,6 +252,24 @@ def test_op9_on_documents_and_odd_rows(spark, odd):
     assert fertility.judge(odd.limit(0), RANKS, queries.PIECES).count() == 0
 
 
+def test_fertility_is_what_the_libraries_say(spark, odd, library):
+    """The method's measures by brute force: whole texts tokenized by both libraries."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=queries.PIECES)
+    for df in (table(spark, SF, "documents"), odd):
+        texts = {(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()}
+        want = Counter()
+        for i, t in texts:
+            ids = library.encode_ordinary(t or "")
+            n = Counter(ids)
+            bits = -sum(k / len(ids) * np.log2(k / len(ids)) for k in n.values())
+            spelled = sum(map(model.is_byte, model.encode(t or "")))
+            want[i, round(len(t or "") / len(ids) if ids else 0.0, 9), round(spelled / len(t.encode()) if t else 0.0, 9), round(float(bits), 6) + 0.0] += 1
+        got = Counter((r["doc_id"], round(r["chars_per_token"], 9), round(r["fallback_share"], 9), round(r["token_entropy"], 6) + 0.0) for r in fertility.judge(df.dropDuplicates(["doc_id", "text"]), RANKS, queries.PIECES).collect())
+        assert got == want
+
+
 def test_fertility_rejects_what_lies_outside_the_band(documents):
     rng = np.random.default_rng(1)
     junk = " ".join("".join(chr(c) for c in rng.integers(0x21, 0x2F, 9)) for _ in range(80))
@@ -272,6 +290,34 @@ def test_op2_separates_held_out_labels(spark, odd):
     assert toxicity.drop_toxic(odd, labels.limit(0)).count() == len(ODD)
 
 
+def test_op2_sees_through_inserted_characters_in_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"  # smaller tables have too few toxic rows to learn from
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = toxicity.fit(docs, labels)
+    toxic = [r["text"] for r in docs.join(labels.where("toxic = 1 and crc32(cast(doc_id as string)) % 3 = 1"), "doc_id").collect()]
+    of, rng = toxicity.scorer(model), np.random.default_rng(1)
+    known = np.flatnonzero(of(toxic) >= toxicity.CUT)
+    assert len(known) >= 0.8 * len(toxic)
+    stems = [m.rstrip("\x00") for m in model.landmarks]
+
+    def bend(w):  # one character more in each word that a landmark begins
+        k = int(rng.integers(1, max(2, len(w) - 1)))
+        return w[:k] + str(rng.choice(list("-*_1x"))) + w[k:] if any(w.lower().startswith(x) for x in stems) else w
+
+    bent = [re.sub(r"[^\W\d_]+", lambda m: bend(m[0]), toxic[i]) for i in known]
+    assert bent != [toxic[i] for i in known]
+    assert (of(bent) >= toxicity.CUT).mean() >= 0.7
+
+
+def test_op2_cut_comes_from_other_folds():
+    margin, y = np.asarray([-2.0, -1.0, -0.5, 0.2, 1.0, 2.0, 3.0]), np.asarray([0, 0, 0, 0, 1, 1, 1])
+    assert toxicity.best_cut(margin, y) == pytest.approx(0.6)
+    texts = [f"plain words {i} of prose" for i in range(30)] + [f"you stupid{i % 3} clown {i}" for i in range(30)]
+    model = toxicity.train(texts, [0] * 30 + [1] * 30)
+    s = toxicity.scorer(model)(["you clo*wn", "calm words of prose", ""])
+    assert s[0] >= toxicity.CUT > max(s[1], s[2])
+
+
 def test_string_kernel_by_brute_force():
     def subsequences(s):
         s, out = f"\x02{s[:-1]}" if s[-1:] == "\x00" else f"\x02{s}\x03", Counter()
