@@ -98,3 +98,16 @@ def job_tokens(x: Column) -> Column:
 
 def json_escape(x: Column) -> Column:
     return F.expr("substr(to_json(array({0})), 2, length(to_json(array({0}))) - 2)".format("x")) if isinstance(x, str) else F.regexp_extract(F.to_json(F.array(x)), r"(?s)^\[(.*)\]$", 1)
+
+
+def fnv1a64(x: Column) -> Column:
+    """The 64-bit FNV-1a hash of a string's UTF-8 bytes, as decimal(20, 0)."""
+    wide = lambda c: c.cast("decimal(38,0)")
+    size = F.lit("18446744073709551616").cast("decimal(20,0)")
+    codes = F.transform(F.regexp_extract_all(F.hex(F.encode(x, "UTF-8")), F.lit("(..)"), F.lit(1)), lambda h: F.conv(h, 16, 10).cast("int"))
+
+    def step(h: Column, b: Column) -> Column:
+        low = (h % 256).cast("int")
+        return wide(((h - low + low.bitwiseXOR(b)).cast("decimal(20,0)") * F.lit("1099511628211").cast("decimal(13,0)")) % size)
+
+    return F.aggregate(codes, wide(F.lit("14695981039346656037")), step).cast("decimal(20,0)")

@@ -63,6 +63,25 @@ def timecode_ms(x: Column, fps: Column | int, separator: str = "[:;]") -> Column
     return ((_int(x, p, 1) * 3600 + _int(x, p, 2) * 60 + _int(x, p, 3)) * 1000 + F.floor(_int(x, p, 4) * 1000.0 / fps + 0.5)).cast("int")
 
 
+def idx_ms(x: Column) -> Column:
+    """hh:mm:ss:mmm"""
+    p = r"(\d+):(\d+):(\d+):(\d+)"
+    return ((_int(x, p, 1) * 3600 + _int(x, p, 2) * 60 + _int(x, p, 3)) * 1000 + _int(x, p, 4)).cast("int")
+
+
+def scc_ms(x: Column) -> Column:
+    """hh:mm:ss:ff with frames of 33 ms; null over a day."""
+    p = r"(\d+):(\d+):(\d+)[:;](\d+)"
+    ms = (_int(x, p, 1) * 3600 + _int(x, p, 2) * 60 + _int(x, p, 3)) * 1000 + _int(x, p, 4) * 33
+    return F.when(ms <= M.DAY_MS, ms.cast("int"))
+
+
+def scc_code(ms: Column, mark: str | Column = ":") -> Column:
+    t, two = F.greatest(ms, F.lit(0)), lambda x: F.lpad(x.cast("int").cast("string"), 2, "0")
+    s = F.floor(t / 1000)
+    return F.concat(two(F.floor(s / 3600)), F.lit(":"), two(F.floor(s / 60) % 60), F.lit(":"), two(s % 60), F.lit(mark) if isinstance(mark, str) else mark, two(F.least(F.lit(29), F.floor((t % 1000 + 16) / 33))))
+
+
 def ttml_ms(x: Column, fps: Column | float = 30.0, ticks: Column | float = 1.0) -> Column:
     """Offsets (12.5s, 3h, 4m, 250ms, 10f, 99t) and clocks (hh:mm:ss[.fraction] or hh:mm:ss:frames); -1 if neither."""
     offset, unit = r"^\s*(\d+(?:\.\d+)?)(h|ms|m|s|f|t)\s*$", F.regexp_extract(x, r"^\s*\d+(?:\.\d+)?(h|ms|m|s|f|t)\s*$", 1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempora import model as M
 from tempora.functions.text import episode_tag, name_tokens, title_tokens
 
 TERMINAL = ("done", "lowconf", "undone")
@@ -90,6 +91,38 @@ def classify(f: DataFrame) -> DataFrame:
     return f.withColumn("mode", mode)
 
 
+def judged_parts(parts: DataFrame, verdict_: str = "verdict", far: int = M.MAX_OFFSET_MS) -> DataFrame:
+    """A row a key: a solid verdict falls to unsure if a slice (offset_ms, sigma; beyond far it doesn't count) contradicts all offsets in use (an array, offsets).
+
+    A slice contradicts if its sigma is 4 or more, no offset lies within 2 s of its own, and one lies within 45 s or its sigma is 5 or more."""
+    away = lambda ms: F.exists("offsets", lambda o: F.abs(o - F.col("offset_ms")) <= ms)
+    bad = (F.abs("offset_ms") <= far) & (F.col("sigma") >= 4) & ~away(2000) & (away(M.REFINE_WINDOW) | (F.col("sigma") >= 5))
+    g = parts.groupBy("film_id", verdict_).agg(F.coalesce(F.bool_or(bad), F.lit(False)).alias("contradicted"))
+    return g.withColumn(verdict_, F.when((F.col(verdict_) == "solid") & F.col("contradicted"), "unsure").otherwise(F.col(verdict_)))
+
+
+def after_run(jobs: DataFrame, outcomes: DataFrame, attempts: int = 3) -> DataFrame:
+    """jobs with status, attempts and srt_mtime after outcomes (id, outcome: done, lowconf, failed or timeout; mtime): one more attempt each.
+
+    What failed or ran out of time is queued again until its attempts are used up; a file that has changed since begins anew."""
+    j = jobs.join(outcomes.select("id", "outcome", F.col("mtime").alias("mtime_")), "id", "left")
+    ran, changed = F.col("outcome").isNotNull(), F.abs(F.col("mtime_") - F.col("srt_mtime")) > 1.0
+    tries = F.when(ran, F.when(F.coalesce(changed, F.lit(False)), 0).otherwise(F.col("attempts")) + 1).otherwise(F.col("attempts"))
+    status = F.when(~ran, F.col("status")).when(F.col("outcome").isin("done", "lowconf"), F.col("outcome")).when(tries < attempts, "queued").otherwise("failed")
+    return j.withColumns({"status": status, "attempts": tries.cast("int"), "srt_mtime": F.coalesce("mtime_", "srt_mtime")}).drop("outcome", "mtime_")
+
+
+def fresh(cache: DataFrame, now_s: Column, ttl_days: int = 30, used: str = "used_s") -> DataFrame:
+    """What of a cache has been used within its time to live; partitions by day let the rest go without a scan."""
+    return cache.where(now_s - F.col(used) <= ttl_days * 86_400)
+
+
+def progress(lines: DataFrame) -> DataFrame:
+    """job, percent, stage, done of newline-delimited JSON (job, line_no, line): the latest line that parses; percent never falls."""
+    x = lines.select("job", "line_no", F.from_json("line", "stage string, percent double, done boolean").alias("x")).where("x.percent is not null or x.done is not null")
+    return x.groupBy("job").agg(F.max("x.percent").alias("percent"), F.max_by("x.stage", "line_no").alias("stage"), F.coalesce(F.bool_or("x.done"), F.lit(False)).alias("done"))
+
+
 # Fixed values, given by the behaviour to match: suffixes of videos and subtitles, folders that hold neither.
 VIDEO_SUFFIXES = (".mp4", ".mkv", ".avi", ".mov", ".m4v", ".ts", ".m2ts", ".mts", ".webm", ".wmv", ".mpg", ".mpeg", ".flv", ".ogv", ".ogm", ".divx", ".vob", ".rmvb", ".3gp")
 SUBTITLE_SUFFIXES = (".srt", ".ass", ".ssa", ".vtt", ".sub", ".idx", ".sup", ".smi", ".sami", ".ttml", ".dfxp", ".sbv", ".mpl2", ".lrc", ".stl", ".scc", ".mcc", ".cap", ".xml")

@@ -6,6 +6,10 @@ hold no cross join and no nested loop.
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,13 +58,34 @@ def merge(df: DataFrame, key: str, order: str) -> DataFrame:
     return islands.groupBy(key, "span_no").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count(F.lit(1)).alias("n_cues"))
 
 
+def fold(df: DataFrame, key: str, columns: list[str], schema: str, step: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """step over each timeline's rows, sorted by columns: for what depends on the state that earlier rows leave. Linear in a timeline's length."""
+    kind = dict(df.dtypes)[key]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = step(pdf.sort_values(columns, kind="stable", na_position="first"))
+        out.insert(0, key, pdf[key].iat[0])
+        return out
+
+    return df.select(key, *columns).groupBy(key).applyInPandas(run, f"`{key}` {kind}, {schema}")
+
+
 def merge_in_file_order(df: DataFrame, key: str, order: str) -> DataFrame:
-    """As merge, but a cue that starts before its span's first start opens a span too; a fold over each timeline's array."""
-    fold = """aggregate(array_sort(collect_list(struct({o}, start_ms, end_ms))), cast(array() as array<struct<s:int,e:int,n:int>>),
-      (acc, x) -> case when size(acc) > 0 and x.start_ms < element_at(acc, -1).e and x.start_ms >= element_at(acc, -1).s
-        then concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).s as s, greatest(element_at(acc, -1).e, x.end_ms) as e, element_at(acc, -1).n + 1 as n)))
-        else concat(acc, array(struct(x.start_ms as s, x.end_ms as e, 1 as n))) end)"""
-    return df.groupBy(key).agg(F.expr(fold.format(o=order)).alias("a")).select(key, F.posexplode("a").alias("p", "x")).select(key, (F.col("p") + 1).alias("span_no"), F.col("x.s").alias("start_ms"), F.col("x.e").alias("end_ms"), F.col("x.n").alias("n_cues"))
+    """As merge, but a cue that starts before its span's first start opens a span too."""
+
+    def step(c: pd.DataFrame) -> pd.DataFrame:
+        out: list[list[int]] = []
+        for s, e in zip(c["start_ms"].tolist(), c["end_ms"].tolist(), strict=True):
+            if out and out[-1][0] <= s < out[-1][1]:
+                out[-1][1] = max(out[-1][1], e)
+                out[-1][2] += 1
+            else:
+                out.append([s, e, 1])
+        rows = pd.DataFrame(out, columns=["start_ms", "end_ms", "n_cues"])
+        rows.insert(0, "span_no", range(1, len(rows) + 1))
+        return rows
+
+    return fold(df, key, [order, "start_ms", "end_ms"], "span_no int, start_ms int, end_ms int, n_cues int", step)
 
 
 def run_lengths(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
@@ -127,30 +152,45 @@ def refine(ref: DataFrame, cues: DataFrame, key: str, reach: int, step: int) ->
 
 
 def fold_glue(spans: DataFrame, key: str, gap: int = 200, least: int = M.MIN_SPEECH_MS) -> DataFrame:
-    """Speech spans (start_ms, end_ms, weight) closer than gap joined, with their weights blended by the lengths so far, gaps included; short ones go.
+    """Speech spans (start_ms, end_ms, weight) closer than gap joined, with their weights blended by the lengths so far, gaps included; short ones go."""
+
+    def step(c: pd.DataFrame) -> pd.DataFrame:
+        out: list[list[float]] = []
+        for s, e, w in zip(c["start_ms"].tolist(), c["end_ms"].tolist(), c["weight"].astype(float).tolist(), strict=True):
+            if out and s - out[-1][1] < gap:
+                a = out[-1]
+                so_far, own = a[1] - a[0], e - s
+                a[1], a[2] = e, (a[2] * so_far + w * own) / max(so_far + own, 1)
+            else:
+                out.append([s, e, w])
+        return pd.DataFrame(out, columns=["start_ms", "end_ms", "weight"])
 
-    The blend depends on the order, so it is a fold over each timeline's sorted array."""
-    step = """aggregate(array_sort(collect_list(struct(start_ms as s, end_ms as e, cast(weight as double) as w))), cast(array() as array<struct<s:int,e:int,w:double>>),
-      (acc, x) -> case when size(acc) > 0 and x.s - element_at(acc, -1).e < {gap}
-        then concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).s as s, x.e as e,
-          (element_at(acc, -1).w * (element_at(acc, -1).e - element_at(acc, -1).s) + x.w * (x.e - x.s)) / greatest(element_at(acc, -1).e - element_at(acc, -1).s + x.e - x.s, 1) as w)))
-        else concat(acc, array(x)) end)"""
-    out = spans.groupBy(key).agg(F.expr(step.format(gap=gap)).alias("a")).select(key, F.explode("a").alias("x"))
-    return out.select(key, F.col("x.s").alias("start_ms"), F.col("x.e").alias("end_ms"), F.col("x.w").alias("weight")).where(F.col("end_ms") - F.col("start_ms") >= least)
+    return fold(spans, key, ["start_ms", "end_ms", "weight"], "start_ms int, end_ms int, weight double", step).where(F.col("end_ms") - F.col("start_ms") >= least)
 
 
 def apart(points: DataFrame, key: str, value: str, confidence: str, gap: int = M.JUMP_MS, least: float = 0.02) -> DataFrame:
-    """Values kept in order if sure enough and farther than gap from the one kept last: a fold over each timeline's array."""
-    step = f"aggregate(array_sort(collect_list(case when {confidence} >= {least} then {value} end)), cast(array() as array<int>), (acc, x) -> case when size(acc) = 0 or abs(x - element_at(acc, -1)) > {gap} then concat(acc, array(cast(x as int))) else acc end)"
-    return points.groupBy(key).agg(F.expr(step).alias("a")).select(key, F.posexplode("a").alias("anchor_no", value))
+    """Values kept in order if sure enough and farther than gap from the one kept last."""
+
+    def step(c: pd.DataFrame) -> pd.DataFrame:
+        kept: list[int] = []
+        for v in c[value].tolist():
+            if not kept or abs(v - kept[-1]) > gap:
+                kept.append(v)
+        return pd.DataFrame({"anchor_no": range(len(kept)), value: kept})
+
+    return fold(points.where(F.col(confidence) >= least).where(F.col(value).isNotNull()), key, [value], f"anchor_no int, `{value}` int", step)
 
 
 def levels(frames: DataFrame, key: str, order: str, value: str, start: float = 0.05, keep: float = 0.995) -> DataFrame:
-    """key, order, level, gain: the exponential moving level and the gain to a target level, clamped to [0.5, 40]; a fold over each timeline's array."""
-    step = f"""aggregate(array_sort(collect_list(struct({order} as k, cast({value} as double) as v))), cast(array() as array<struct<k:int,l:double>>),
-      (acc, x) -> concat(acc, array(struct(x.k as k, (case when size(acc) = 0 then double({start}) else element_at(acc, -1).l end) * double({keep}) + x.v * double({1 - keep:.6g}) as l))))"""
-    out = frames.groupBy(key).agg(F.expr(step).alias("a")).select(key, F.explode("a").alias("x"))
-    return out.select(key, F.col("x.k").alias(order), F.col("x.l").alias("level"), F.least(F.greatest(start / F.greatest(F.col("x.l"), F.lit(1e-5)), F.lit(0.5)), F.lit(40.0)).alias("gain"))
+    """key, order, level, gain: the exponential moving level and the gain to a target level, clamped to [0.5, 40]."""
+
+    def step(c: pd.DataFrame) -> pd.DataFrame:
+        x = c[value].astype(float).to_numpy()
+        level = list(itertools.accumulate(x.tolist(), lambda a, v: a * keep + v * round(1 - keep, 9), initial=start))[1:]
+        return pd.DataFrame({order: c[order].to_numpy(), "level": level})
+
+    out = fold(frames, key, [order, value], f"`{order}` {dict(frames.dtypes)[order]}, level double", step)
+    return out.withColumn("gain", F.least(F.greatest(start / F.greatest(F.col("level"), F.lit(1e-5)), F.lit(0.5)), F.lit(40.0)))
 
 
 def nearest_point(probes: DataFrame, points: DataFrame, key: str, at: str = "at_ms") -> DataFrame:
@@ -315,6 +355,32 @@ def snap(cues: DataFrame, cuts: DataFrame, key: str, order: str, window: int = M
     return t.select(key, order, "start_ms", F.when(ok, F.col("nearest")).otherwise(F.col("at_ms")).alias("end_ms"))
 
 
+def agreement(slices: DataFrame, expected: DataFrame, key: str, near: int = M.AGREE_MS) -> DataFrame:
+    """key, agreed, total, ratio: slices (slice_no, offset_ms) that lie within near of what is expected of the slice of that number."""
+    e = expected.select(key, "slice_no", F.col("offset_ms").alias("expected_ms"))
+    hit = F.coalesce((F.abs(F.col("offset_ms") - F.col("expected_ms")) <= near).cast("int"), F.lit(0))
+    g = slices.join(e, [key, "slice_no"], "left").groupBy(key).agg(F.sum(hit).alias("agreed"), F.count(F.lit(1)).alias("total"))
+    return g.withColumn("ratio", F.col("agreed") / F.col("total"))
+
+
+def cross_correlation(a: DataFrame, b: DataFrame, key: str, reach: int) -> DataFrame:
+    """key, lag, score: the sum over bins of a's value times b's value lag bins earlier, for sparse rasters (bin, value), by buckets of reach bins."""
+    x = a.select(key, F.col("bin").alias("i"), F.col("value").alias("x"), F.floor(F.col("bin") / reach).alias("bucket"))
+    y = b.select(key, F.col("bin").alias("j"), F.col("value").alias("y"), F.explode(F.sequence(F.floor(F.col("bin") / reach) - 1, F.floor(F.col("bin") / reach) + 1)).alias("bucket"))
+    pairs = x.join(y, [key, "bucket"]).where(F.abs(F.col("i") - F.col("j")) <= reach)
+    return pairs.groupBy(key, (F.col("i") - F.col("j")).alias("lag")).agg(F.sum(F.col("x") * F.col("y")).alias("score"))
+
+
+def settled_cut(df: DataFrame, key: str, order: str, low: str, high: str, gap: str, at: str, reach: int = 60) -> DataFrame:
+    """key, cut: the place within reach of at where low before it and high from it on add up to the most; ties go to the widest gap in front, then to at, then to the first."""
+    w = Window.partitionBy(key).orderBy(order)
+    t = df.withColumn("no_", F.row_number().over(w)).withColumn("n_", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    t = t.withColumn("sum_", F.coalesce(F.sum(low).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) + F.sum(high).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    near = t.where((F.abs(F.col("no_") - F.col(at)) <= reach) & (F.col("no_") > 1))
+    best = Window.partitionBy(key).orderBy(F.desc(F.round("sum_", 6)), F.desc(gap), F.abs(F.col("no_") - F.col(at)), "no_")
+    return near.withColumn("k_", F.row_number().over(best)).where("k_ = 1").select(key, F.col(order).alias("cut"))
+
+
 def backward_jumps(cues: DataFrame, key: str, order: str, back: int = M.BACK_MS) -> DataFrame:
     """Candidates: cues that start more than back before the one in front of them and whose part, max(30, n / 10) cues, still does."""
     w, all_ = Window.partitionBy(key).orderBy(order), Window.partitionBy(key)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 
 #: name: (tables it needs, SQL that both engines read; {us} is microseconds since the epoch).
@@ -16,27 +14,23 @@ SQL = {
     "near_cues": ("timeline", "select film_id, span_no as cue_no, start_ms + 700 as start_ms, end_ms + 650 as end_ms from timeline where span_no % 5 <> 0"),
     "points": ("timeline", "select film_id, start_ms as at_ms from timeline where event_type = 'purchase'"),
     "marks": ("timeline", "select film_id, span_no as seq, start_ms as at_ms, event_type <> 'error' as shown from timeline"),
-    "keyframes": ("orders", "select distinct o_custkey % 50 as film_id, cast(o_orderkey * 400 + (o_orderkey * o_custkey) % 371 as int) as at_ms from orders where o_orderkey < 1000000"),
+    "keyframes": ("orders", "select distinct o_custkey % 50 as film_id, cast(o_orderkey as bigint) * 400 + (cast(o_orderkey as bigint) * o_custkey) % 371 as at_ms from orders"),
     "frames": ("timeline", "select film_id, span_no as frame_no, case when end_ms % 3 = 0 then 0.1 else weight end as p from timeline"),
     "measured": ("timeline", """select film_id, slice_no, cast(floor(avg((start_ms + end_ms) / 2.0)) as int) as at_ms, cast(sum(end_ms - start_ms) % 3000 as int) as offset_ms, cast(sum(end_ms) % 120 as int) / 10.0e0 as sigma
         from (select *, cast(least(floor((span_no - 1) / 8.0), 7) as int) as slice_no from timeline) t group by film_id, slice_no"""),
     "jobs": ("orders", """select o_orderkey as id, concat('/m/', cast(o_custkey % 97 as varchar({n})), '/v', cast(o_custkey as varchar({n})), '.mkv') as video_path, concat('/m/', cast(o_custkey % 97 as varchar({n})), '/s', cast(o_orderkey as varchar({n})), '.srt') as srt_path,
         case o_orderstatus when 'F' then 'done' when 'O' then 'lowconf' else 'failed' end as status, case when o_orderkey % 11 = 0 then null else o_totalprice / 10000 end as confidence, cast(o_orderkey % 5 as int) as attempts from orders"""),
-    "lines": ("documents", """select doc_id as film_id, cast(pos as int) as cue_no, case cast((doc_id * 7 + pos * 3) % 13 as int) when 0 then concat('[', line, ']') when 1 then concat('(', substr(line, 1, 9)) when 2 then '{note} {note}' when 3 then 'NARRATOR:'
-        when 4 then '- <i></i>' when 5 then concat('Synced by ', substr(line, 1, 5)) when 6 then concat('www.', substr(line, 1, 3), '.org') when 7 then concat('- <b>', substr(line, 1, 30), '</b>') when 8 then concat('ANNA: ', substr(line, 1, 20)) else substr(line, 1, 60) end as text from ({exploded}) l"""),
+    "lines": ("documents", """select doc_id as film_id, cast(pos as int) as cue_no, case cast((doc_id * 7 + pos * 3) % 13 as int) when 0 then concat('[', line, ']') when 1 then concat('(', line) when 2 then '{note} {note}' when 3 then 'NARRATOR:'
+        when 4 then '- <i></i>' when 5 then concat('Synced by ', line) when 6 then concat('www.', line, '.org') when 7 then concat('- <b>', line, '</b>') when 8 then concat('ANNA: ', line) else line end as text from ({exploded}) l"""),
     "stamps": ("timeline", """select film_id, span_no, concat(lpad(cast(start_ms // 3600000 as varchar(20)), 2, '0'), ':', lpad(cast(start_ms // 60000 % 60 as varchar(20)), 2, '0'), ':', lpad(cast(start_ms // 1000 % 60 as varchar(20)), 2, '0'), case when span_no % 2 = 0 then ',' else '.' end, case span_no % 3 when 0 then lpad(cast(start_ms % 1000 as varchar(20)), 3, '0') when 1 then cast(start_ms % 10 as varchar(20)) else lpad(cast(start_ms % 100 as varchar(20)), 2, '0') end) as stamp, start_ms, end_ms from timeline"""),
     "tracks": ("orders", """select o_custkey % 500 as film_id, o_orderkey as idx, case cast(o_orderkey % 3 as int) when 0 then 'audio' when 1 then 'subtitle' else 'video' end as kind, o_orderkey % 7 = 0 as is_default, o_orderkey % 5 = 0 as forced, o_orderkey % 11 = 0 as impaired,
         cast(o_orderkey % 90 as int) as n_cues from orders"""),
     "tokens": ("events", """select user_id as film_id, event_id as tok_no, concat(chr(123), '"text": "', case cast(event_id % 5 as int) when 0 then '[_BEG_]' when 1 then '<|en|>' when 2 then ' ...' else concat(' ', event_type) end, '", "t_dtw": ', cast(event_id % 9000 - 5 as varchar(20)), chr(125)) as token from events"""),
     "packets": ("timeline", "select film_id, span_no, cast(span_no * (33 + film_id % 10) + case when span_no % 9 = 0 then 7 else 0 end as int) as pts_ms from timeline"),
-    "srt_lines": ("documents", """select doc_id as film_id, cast(pos as int) as line_no, case cast((doc_id * 5 + pos * 7) % 11 as int) when 0 then '' when 1 then '12' when 2 then '00:00:01,000 --> 00:00:02,500' when 3 then 'WEBVTT' when 4 then 'NOTE a remark' when 5 then 'cue id' when 6 then '' else substr(line, 1, 40) end as line from ({exploded}) l"""),
+    "srt_lines": ("documents", """select doc_id as film_id, cast(pos as int) as line_no, case cast((doc_id * 5 + pos * 7) % 11 as int) when 0 then '' when 1 then '12' when 2 then '00:00:01,000 --> 00:00:02,500' when 3 then 'WEBVTT' when 4 then 'NOTE a remark' when 5 then 'cue id' when 6 then '' else line end as line from ({exploded}) l"""),
     "files": ("orders", """select concat('/m/', case cast(o_custkey % 9 as int) when 0 then '@eaDir/' when 1 then '.hidden/' else concat('d', cast(o_custkey % 60 as varchar(20)), '/') end) as dir, concat(case when o_orderkey % 23 = 0 then '.' else '' end, 'f', cast(o_orderkey % 4000 as varchar(20)), case when o_orderkey % 19 = 0 then '.unsure' else '' end) as base,
         case cast(o_orderkey % 6 as int) when 0 then '.mkv' when 1 then '.SRT' when 2 then '.idx' when 3 then '.sub' when 4 then '.nfo' else '.vtt' end as ext from orders"""),
 }
-#: The same with whole lines, and with every key at times too wide for an int.
-for _name in ("lines", "srt_lines"):
-    SQL[f"whole_{_name}"] = ("documents", re.sub(r"substr\(line, 1, \d+\)", "line", SQL[_name][1]))
-SQL["whole_keyframes"] = ("orders", "select distinct o_custkey % 50 as film_id, cast(o_orderkey as bigint) * 400 + (cast(o_orderkey as bigint) * o_custkey) % 371 as at_ms from orders")
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
 _FILL = {
     "spark": {"us": "unix_micros(cast(ts as timestamp))", "n": 20, "note": "♪", "exploded": "select doc_id, pos, line from documents lateral view posexplode(split(text, '\\n')) t as pos, line"},

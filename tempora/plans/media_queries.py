@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tempora.operators import intervals as I
 from tempora.operators import media as A
-from tempora.plans.format_queries import whole_sql
 from tempora.plans.interval_queries import SWEEP
 from tempora.plans.registry import query
 from tempora.sources import writers
@@ -51,7 +50,7 @@ def heard_words(t: DataFrame) -> DataFrame:
 @query("srt_lines", sql="""with f as (select *, trim(line) = '' as blank, regexp_matches(line, '^\\s*(\\d{1,3}:)?\\d{1,2}:\\d{2}[.,]\\d{1,3}\\s*-->') as tm, regexp_matches(line, '^\\s*\\d+\\s*$') as cn from srt_lines),
 g as (select *, coalesce(lag(blank) over w, true) as gap, coalesce(lead(tm) over w, false) as bt, sum(cast(blank as int)) over w as para from f window w as (partition by film_id order by line_no)),
 b as (select *, max(cast(not blank and not tm and not cn and gap and regexp_matches(trim(line), '^(WEBVTT|NOTE|STYLE|REGION)\\b') as int)) over (partition by film_id, para order by line_no) as ib from g)
-select film_id, line_no, line from b where not blank and not tm and not cn and ib = 0 and not bt""", whole="whole_srt_lines")
+select film_id, line_no, line from b where not blank and not tm and not cn and ib = 0 and not bt""")
 def translatable_lines(l: DataFrame) -> DataFrame:
     return A.translatable(l, "film_id")
 
@@ -107,22 +106,16 @@ def score_curve(t: DataFrame, c: DataFrame) -> DataFrame:
     return I.curve(t, c, "film_id", 60_000, 1000)
 
 
-_EMBEDDED = """with c as (select film_id, cue_no * 1000 % 7000 as s, cue_no * 1000 % 7000 + 900 as e, case when trim(regexp_replace(text, '[^A-Za-z .]', '', 'g')) = '' then 'x' else trim(regexp_replace(text, '[^A-Za-z .]', '', 'g')) end as t from lines where film_id % 10 = 0),
+_EMBEDDED = """with c as (select film_id, cue_no * 1000 % 7000 as s, cue_no * 1000 % 7000 + 900 as e, case when trim(regexp_replace(text, '[^A-Za-z .]', '', 'g')) = '' then 'x' else trim(regexp_replace(text, '[^A-Za-z .]', '', 'g')) end as t from lines),
 k as (select *, row_number() over (partition by film_id order by s, e, t) as k from c)
 select 'f' || film_id as path, string_agg(k || chr(10) || '00:00:0' || (s // 1000) || ',000 --> 00:00:0' || (e // 1000) || ',900' || chr(10) || t || chr(10), chr(10) order by k) || chr(10) as text from k group by film_id"""
 
 
-@query("whole_lines", sql=whole_sql(_EMBEDDED))
-def whole_embedded_text(l: DataFrame) -> DataFrame:
+@query("lines", sql=_EMBEDDED)
+def embedded_text(l: DataFrame) -> DataFrame:
     """Packets of an embedded track in time order, renumbered and written as one file."""
     t = F.trim(F.regexp_replace("text", "[^A-Za-z .]", ""))
     start = F.col("cue_no") * 1000 % 7000
     c = l.select(F.concat(F.lit("f"), F.col("film_id").cast("string")).alias("path"), start.alias("start_ms"), (start + 900).alias("end_ms"), F.when(t == "", "x").otherwise(t).alias("text"))
     k = F.row_number().over(Window.partitionBy("path").orderBy("start_ms", "end_ms", "text")) - 1
     return writers.to_srt(c.withColumn("cue_no", k))
-
-
-@query("lines", sql=_EMBEDDED)
-def embedded_text(l: DataFrame) -> DataFrame:
-    """The same on a tenth of the documents."""
-    return whole_embedded_text(l.where("film_id % 10 = 0"))

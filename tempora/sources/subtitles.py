@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tempora import model as M
 from tempora.functions import times as T
+from tempora.sources.rewriters import scc_lines
 
 BY_SUFFIX = {"srt": "srt", "vtt": "vtt", "ass": "ass", "ssa": "ass", "sub": "sub", "mpl": "mpl2", "sbv": "sbv", "smi": "smi", "sami": "smi", "ttml": "ttml", "dfxp": "ttml", "itt": "ttml", "stl": "stl", "scc": "scc", "sup": "sup", "idx": "idx"}
 MAX_BYTES = 64 << 20
@@ -163,7 +164,15 @@ def read_ttml(texts: DataFrame) -> DataFrame:
     return _numbered(t.select("path", "line_no", "start_ms", "end_ms", _strip(text).alias("text")))
 
 
-READERS = {"srt": read_srt, "vtt": read_vtt, "ass": read_ass, "sub": read_sub, "mpl2": read_mpl2, "sbv": read_sbv, "subviewer": read_subviewer, "smi": read_smi, "ttml": read_ttml, "spruce": read_spruce}
+def read_scc(texts: DataFrame) -> DataFrame:
+    """Closed captions: shown until the next line that shows or hides."""
+    t = scc_lines(texts).where("show or hide").withColumnRenamed("piece_no", "line_no")
+    end = F.lead("ms").over(Window.partitionBy("path").orderBy("line_no"))
+    end = F.least(F.when(end > F.col("ms"), end).otherwise(F.col("ms") + 2000), F.col("ms") + M.MAX_CUE_MS)
+    return _numbered(t.withColumn("end_ms", end).where("show").select("path", "line_no", F.col("ms").alias("start_ms"), "end_ms", F.lit("").alias("text")))
+
+
+READERS = {"scc": read_scc, "srt": read_srt, "vtt": read_vtt, "ass": read_ass, "sub": read_sub, "mpl2": read_mpl2, "sbv": read_sbv, "subviewer": read_subviewer, "smi": read_smi, "ttml": read_ttml, "spruce": read_spruce}
 
 
 def read_cues(texts: DataFrame) -> DataFrame:

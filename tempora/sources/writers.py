@@ -54,7 +54,30 @@ def to_spruce(c: DataFrame, fps: int = 25) -> DataFrame:
     return _file(c, F.concat(T.timecode(F.col("start_ms"), fps), F.lit(" , "), T.timecode(F.col("end_ms"), fps), F.lit(" , "), F.regexp_replace("text", "\n", "|")))
 
 
-WRITERS = {"srt": to_srt, "vtt": to_vtt, "ass": to_ass, "sbv": to_sbv, "sub": to_sub, "mpl2": to_mpl2, "smi": to_smi, "ttml": to_ttml, "spruce": to_spruce}
+def to_subviewer(c: DataFrame) -> DataFrame:
+    stamp = lambda x: T.clock(F.col(x), ".", 2)
+    return _file(c, F.concat(stamp("start_ms"), F.lit(","), stamp("end_ms"), F.lit("\n"), F.regexp_replace("text", "\n", "[br]"), F.lit("\n")), "[INFORMATION]\n[SUBTITLE]\n")
+
+
+def to_scc(c: DataFrame) -> DataFrame:
+    """Pop-on captions, loaded and shown in one line and hidden by another; letters go two by two."""
+    pairs = F.regexp_extract_all(F.regexp_replace(F.concat("text", F.lit(" ")), r"[^ -~]", "?"), F.lit("(..)"), F.lit(1))
+    codes = F.concat_ws(" ", F.lit("9420 9420"), F.array_join(F.transform(pairs, lambda x: F.lower(F.hex(x))), " "), F.lit("942f 942f"))
+    return _file(c, F.concat(T.scc_code(F.col("start_ms")), F.lit("\t"), codes, F.lit("\n\n"), T.scc_code(F.col("end_ms")), F.lit("\t942c 942c\n")), "Scenarist_SCC V1.0\n\n")
+
+
+def to_idx(c: DataFrame, delay_ms: int = 0) -> DataFrame:
+    """An index without pictures; times stand before the delay is added."""
+    return _file(c, F.concat(F.lit("timestamp: "), T.clock(F.col("start_ms") - delay_ms, ":"), F.lit(", filepos: 000000000")), f"# VobSub index file, v7\ndelay: 00:00:{delay_ms // 1000:02d}:{delay_ms % 1000:03d}\n")
+
+
+WRITERS = {"subviewer": to_subviewer, "scc": to_scc, "idx": to_idx, "srt": to_srt, "vtt": to_vtt, "ass": to_ass, "sbv": to_sbv, "sub": to_sub, "mpl2": to_mpl2, "smi": to_smi, "ttml": to_ttml, "spruce": to_spruce}
+
+
+def convert(cues: DataFrame, kind: str) -> DataFrame:
+    """Files of a format from cues that a reader gave; what can't be read (0, 0) is left out and the rest numbered anew."""
+    w = Window.partitionBy("path").orderBy("cue_no")
+    return WRITERS[kind](cues.where("end_ms > start_ms").withColumn("cue_no", F.row_number().over(w) - 1))
 
 
 def rewrite_clock_lines(texts: DataFrame, times: DataFrame) -> DataFrame:

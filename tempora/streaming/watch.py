@@ -76,6 +76,38 @@ def record_jobs(events: DataFrame, jobs: JobTable, checkpoint: str) -> DataStrea
     return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
 
 
+class Watcher:
+    """A standing query over file events that can pause and go on from where it was; a paused one stays so for whoever looks, by a marker beside the checkpoint."""
+
+    def __init__(self, events: DataFrame, jobs: JobTable, checkpoint: str, every: str = "10 seconds"):
+        self.events, self.jobs, self.checkpoint, self.every, self.query = events, jobs, checkpoint.rstrip("/"), every, None
+
+    def _marker(self):
+        jvm, conf = self.jobs.spark.sparkContext._jvm, self.jobs.spark.sparkContext._jsc.hadoopConfiguration()
+        where = jvm.org.apache.hadoop.fs.Path(f"{self.checkpoint}-paused")
+        return where.getFileSystem(conf), where
+
+    @property
+    def paused(self) -> bool:
+        fs, where = self._marker()
+        return fs.exists(where)
+
+    def start(self) -> None:
+        if not self.paused and (self.query is None or not self.query.isActive):
+            self.query = record_jobs(self.events, self.jobs, self.checkpoint).trigger(processingTime=self.every).start()
+
+    def pause(self) -> None:
+        fs, where = self._marker()
+        fs.create(where, True).close()
+        if self.query is not None:
+            self.query.stop()
+
+    def resume(self) -> None:
+        fs, where = self._marker()
+        fs.delete(where, False)
+        self.start()
+
+
 def rescan(events: DataFrame, jobs: JobTable, checkpoint: str) -> StreamingQuery:
     """All that is there now, once; later calls go on from the checkpoint."""
     query = record_jobs(events, jobs, checkpoint).trigger(availableNow=True).start()
