@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tempora.llm import chat, cover_tree, fertility, merge_replay, packing, secrets, simhash, toxicity, warc, wrapper
+from tempora.llm import chat, cover_tree, fertility, merge_replay, packing, secrets, simhash, simhash_sql, toxicity, warc, wrapper
 from tempora.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -86,4 +86,4 @@ select vec_id, coalesce(n.n, 0) as n_links, c.c as component_id, vec_id = c.c as
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_rotation": chat.ORACLE, "op4_wrapper_text": wrapper.ORACLE, "op5_secret_scan": secrets.ORACLE, "op7_warc": OP7_SQL, "op10_cover_tree": OP10_SQL}
+    return {"op1_chat_rotation": chat.ORACLE, "op4_wrapper_text": wrapper.ORACLE, "op5_secret_scan": secrets.ORACLE, "op6_simhash": simhash_sql.oracle(simhash.SHINGLE, simhash.RADIUS, simhash.SEED), "op7_warc": OP7_SQL, "op10_cover_tree": OP10_SQL}
