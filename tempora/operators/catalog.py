@@ -13,14 +13,30 @@ TERMINAL = ("done", "lowconf", "undone")
 
 def match_videos(subtitles: DataFrame, videos: DataFrame) -> DataFrame:
     """dir, name -> video: the video of the folder whose name shares most words (half at least) among those whose episode
-    doesn't differ, the first by name among equals; else the folder's only usable one."""
-    s = subtitles.select("dir", "name", title_tokens(F.col("name")).alias("st"), episode_tag(F.col("name")).alias("se"))
-    v = videos.select("dir", F.col("name").alias("video"), name_tokens(F.col("name")).alias("vt"), episode_tag(F.col("name")).alias("ve"))
-    both = s.join(v, "dir").where(F.col("se").isNull() | F.col("ve").isNull() | (F.col("se") == F.col("ve")))
-    score = F.size(F.array_intersect("vt", "st")) / F.greatest(F.size("vt"), F.lit(1))
-    w, each = Window.partitionBy("dir", "name").orderBy(F.desc(F.round("score", 6)), "video"), Window.partitionBy("dir", "name")
-    ranked = both.withColumn("score", score).withColumn("k", F.row_number().over(w)).withColumn("usable", F.count(F.lit(1)).over(each)).where("k = 1 and (score >= 0.5 or usable = 1)")
-    return s.select("dir", "name").join(ranked.select("dir", "name", "video", F.round("score", 6).alias("score")), ["dir", "name"], "left")
+    doesn't differ, the first by name among equals; else the folder's only usable one.
+
+    A name that shares half of a video's words holds one of its rarer half (and one more), so videos are met by these
+    words alone and a flat folder is not paired off; how many are usable is counted by episode."""
+    s = subtitles.select("dir", "name").distinct().select("dir", "name", title_tokens(F.col("name")).alias("st"), episode_tag(F.col("name")).alias("se"))
+    v = videos.select("dir", F.col("name").alias("video")).distinct().select("dir", "video", name_tokens(F.col("video")).alias("vt"), episode_tag(F.col("video")).alias("ve"))
+    each = v.select("dir", "video", "ve", "vt", F.explode("vt").alias("token"))
+    common = each.groupBy("dir", "token").agg(F.count(F.lit(1)).alias("n"))
+    rarest = Window.partitionBy("dir", "video").orderBy("n", "token")
+    rare = each.join(common, ["dir", "token"]).withColumn("k", F.row_number().over(rarest)).where(F.col("k") <= F.floor(F.size("vt") / 2) + 1)
+    met = s.select("dir", "name", "se", "st", F.explode("st").alias("token")).join(rare.select("dir", "token", "video", "ve", "vt"), ["dir", "token"])
+    met = met.where(F.col("se").isNull() | F.col("ve").isNull() | (F.col("se") == F.col("ve")))
+    score = lambda: F.size(F.array_intersect("vt", "st")) / F.greatest(F.size("vt"), F.lit(1))
+    good = met.withColumn("score", F.round(score(), 6)).where("score >= 0.5").groupBy("dir", "name").agg(F.min(F.struct((-F.col("score")).alias("less"), F.col("video").alias("video"))).alias("best"))
+    of = v.groupBy("dir", "ve").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("video", "vt")).alias("one"))
+    whole = of.groupBy("dir").agg(F.sum("n").alias("n_all"), F.min("one").alias("one_all"))
+    plain = of.where("ve is null").select("dir", F.col("n").alias("n_plain"), F.col("one").alias("one_plain"))
+    same = of.where("ve is not null").select(F.col("dir").alias("dir_"), F.col("ve").alias("ve_"), F.col("n").alias("n_same"), F.col("one").alias("one_same"))
+    t = s.join(whole, "dir", "left").join(plain, "dir", "left").join(same, (F.col("dir") == F.col("dir_")) & (F.col("se") == F.col("ve_")), "left")
+    usable = F.when(F.col("se").isNull(), F.col("n_all")).otherwise(F.coalesce("n_plain", F.lit(0)) + F.coalesce("n_same", F.lit(0)))
+    only = F.when(usable == 1, F.when(F.col("se").isNull(), F.col("one_all")).otherwise(F.coalesce("one_plain", "one_same")))
+    t = t.withColumn("only", only).withColumn("vt", F.col("only.vt")).withColumn("only_score", F.round(score(), 6)).select("dir", "name", F.col("only.video").alias("only"), "only_score")
+    found = t.join(good, ["dir", "name"], "left").select("dir", "name", F.coalesce("best.video", "only").alias("video"), F.coalesce(-F.col("best.less"), F.when(F.col("only").isNotNull(), F.col("only_score"))).alias("score"))
+    return subtitles.select("dir", "name").join(found, ["dir", "name"], "left")
 
 
 def needs_work(pairs: DataFrame, jobs: DataFrame, tolerance_s: float = 1.0, attempts: int = 3) -> DataFrame:
