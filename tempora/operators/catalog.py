@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tempora import model as M
 from tempora.functions.text import episode_tag, name_tokens, title_tokens
@@ -117,6 +118,22 @@ def judged_parts(parts: DataFrame, verdict_: str = "verdict", far: int = M.MAX_O
     return g.withColumn(verdict_, F.when((F.col(verdict_) == "solid") & F.col("contradicted"), "unsure").otherwise(F.col(verdict_)))
 
 
+#: The catalogue's tables; upserts keep their keys unique.
+SCHEMAS = {
+    "sync_jobs": ("id long, video_path string, srt_path string, backup_path string, slope double, intercept_ms long, offset_ms long, confidence double, srt_mtime double, attempts int, status string, created_at timestamp", ("video_path", "srt_path")),
+    "settings": ("key string, value string", ("key",)),
+    "video_tracks": ("video_path string, tracks int", ("video_path",)),
+    "translations": ("id long, source_path string, output_path string, language string, provider string, status string, detail string, created_at timestamp", ("source_path", "language")),
+}
+
+
+def evolved(df: DataFrame, schema: str) -> DataFrame:
+    """df with the columns of a schema, in its order: those that it lacks are null, others that it has come last."""
+    wanted = StructType.fromDDL(schema)
+    known = set(df.columns)
+    return df.select(*[(F.col(f.name) if f.name in known else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted], *[c for c in df.columns if c not in wanted.names])
+
+
 def after_run(jobs: DataFrame, outcomes: DataFrame, attempts: int = 3) -> DataFrame:
     """jobs with status, attempts and srt_mtime after outcomes (id, outcome: done, lowconf, failed or timeout; mtime): one more attempt each.
 

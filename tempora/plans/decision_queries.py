@@ -225,3 +225,40 @@ def saved_files(l: DataFrame) -> DataFrame:
     """The latest save of each file."""
     saves = l.where("cue_no < 4").select(F.concat(F.lit("f"), F.col("film_id")).alias("path"), "text", (F.col("cue_no") + 1).cast("long").alias("version"))
     return store.latest(saves)
+
+
+@query("timeline", sql=f"""with a as ({_RASTER.format(d=0, m=7)}), b as ({_RASTER.format(d=33000, m=5)}), s as (select a.film_id, a.bin - b.bin as lag, round(sum(a.value * b.value), 6) as score from a join b on a.film_id = b.film_id and abs(a.bin - b.bin) <= 300 group by a.film_id, a.bin - b.bin),
+p1 as (select film_id, lag, score from (select *, row_number() over (partition by film_id order by score desc, lag) as k from s) t where k = 1),
+p2 as (select film_id, lag, score from (select s.*, row_number() over (partition by s.film_id order by s.score desc, s.lag) as k from s join p1 using (film_id) where abs(s.lag - p1.lag) > 5) t where k = 1),
+p3 as (select film_id, lag, score from (select s.*, row_number() over (partition by s.film_id order by s.score desc, s.lag) as k from s join p1 using (film_id) join p2 using (film_id) where abs(s.lag - p1.lag) > 5 and abs(s.lag - p2.lag) > 5) t where k = 1)
+select film_id, cast(k as int) as place, lag, score from (select *, 1 as k from p1 union all select *, 2 from p2 union all select *, 3 from p3) q""")
+def top_peaks(t: DataFrame) -> DataFrame:
+    """The three highest lags, each keeping five on either side from being chosen."""
+    raster = lambda d, m: t.where(F.col("span_no") % m != 0).groupBy("film_id", F.floor((F.col("start_ms") + d) / 1000).alias("bin")).agg(F.sum("weight").alias("value"))
+    curve = I.cross_correlation(raster(0, 7), raster(33_000, 5), "film_id", 300).withColumn("score", F.round("score", 6))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        score = np.full(601, -np.inf)
+        score[pdf["lag"].to_numpy() + 300] = pdf["score"]
+        got = align.peaks(np.arange(-300, 301), score, 3, 5)
+        return pd.DataFrame([(int(pdf["film_id"].iat[0]), i + 1, lag, z) for i, (lag, z) in enumerate(got)], columns=["film_id", "place", "lag", "score"])
+
+    return curve.groupBy("film_id").applyInPandas(run, "film_id long, place int, lag long, score double")
+
+
+@query("lines", sql="""with f as (select film_id, count(*) as n, case cast(film_id % 4 as int) when 0 then 24.0e0 when 1 then 25.0e0 when 2 then 30.0e0 else 23.976e0 end as rate from lines group by film_id)
+select 'f' || film_id as path, cast(floor(48 * 1000.0e0 / rate + 0.5) as int) as start_ms, cast(floor((48 + n) * 1000.0e0 / rate + 0.5) as int) as end_ms from f""")
+def frame_rates(l: DataFrame) -> DataFrame:
+    """Frames read at the rate that a file's first line gives, or at the usual one if it gives none that can be."""
+    told = F.element_at(F.array(*map(F.lit, ("{1}{1}24.000\n", "{1}{1}25\n", "{0}{0}30,0\n", "{1}{1}500\n"))), (F.col("film_id") % 4 + 1).cast("int"))
+    f = l.groupBy("film_id").agg(F.count(F.lit(1)).alias("n"))
+    texts = f.select(F.concat(F.lit("f"), F.col("film_id")).alias("path"), F.concat(told, F.lit("{48}{"), (F.col("n") + 48).cast("string"), F.lit("}x\n")).alias("text"))
+    return subtitles.read_sub(texts).select("path", "start_ms", "end_ms")
+
+
+@query("jobs", sql="select id, status, cast(null as double) as slope, cast(null as bigint) as intercept_ms, attempts from jobs where status = 'failed'")
+def schema_evolution(j: DataFrame) -> DataFrame:
+    """A table of an older version brought up to the columns of now; doing it twice changes nothing."""
+    old = j.where("status = 'failed'").select("id", "status", "attempts")
+    wanted = "id long, status string, slope double, intercept_ms long, attempts int"
+    return C.evolved(C.evolved(old, wanted), wanted)
