@@ -215,13 +215,14 @@ def near_semi(spans: DataFrame, points: DataFrame, key: str, reach: int = 300, b
 
 
 def slope_events(ref: DataFrame, cues: DataFrame, key: str, most: int = M.MAX_OFFSET_MS) -> DataFrame:
-    """key, x, ds: where the score's slope over the offset changes; each reachable pair adds four corners."""
-    r = ref.select(key, F.col("start_ms").alias("rs"), F.col("end_ms").alias("re"), F.col("weight").alias("w"))
-    r = r.select("*", F.explode(F.sequence(F.floor(F.col("rs") / most), F.floor(F.col("re") / most))).alias("rb"))
-    c = cues.select(key, F.col("start_ms").alias("cs"), F.col("end_ms").alias("ce"))
-    c = c.select("*", F.explode(F.sequence(F.floor((F.col("cs") - most) / most), F.floor((F.col("ce") + most) / most))).alias("cb"))
-    own = F.col("rb") == F.greatest(F.floor(F.col("rs") / most), F.floor((F.col("cs") - most) / most))
-    pairs = r.join(c, (r[key] == c[key]) & (r["rb"] == c["cb"])).where(own & (F.col("rs") - F.col("ce") <= most) & (F.col("re") - F.col("cs") >= -most)).select(r[key], "rs", "re", "cs", "ce", (F.col("w") / F.greatest(F.col("re") - F.col("rs"), F.col("ce") - F.col("cs"))).alias("s"))
+    """key, x, ds: where the score's slope over the offset changes; each reachable pair adds four corners.
+
+    A timeline's cues (MAX_CUES at most) meet its reference as one array, so everything from here on is partitioned by key
+    and neither the corners nor their sums are exchanged again."""
+    each = cues.groupBy(key).agg(F.collect_list(F.struct(F.col("start_ms").alias("cs"), F.col("end_ms").alias("ce"))).alias("cues"))
+    r = ref.select(key, F.col("start_ms").alias("rs"), F.col("end_ms").alias("re"), F.col("weight").alias("w")).repartition(key).join(each, key)
+    near = F.filter("cues", lambda c: (F.col("rs") - c["ce"] <= most) & (F.col("re") - c["cs"] >= -most))
+    pairs = r.select(key, "rs", "re", "w", F.explode(near).alias("c")).select(key, "rs", "re", "c.cs", "c.ce", (F.col("w") / F.greatest(F.col("re") - F.col("rs"), F.col("c.ce") - F.col("c.cs"))).alias("s"))
     corner = lambda x, sign: F.struct(x.cast("int").alias("x"), (F.col("s") * sign).alias("ds"))
     corners = F.array(corner(F.col("rs") - F.col("ce"), 1), corner(F.col("rs") - F.col("cs"), -1), corner(F.col("re") - F.col("ce"), -1), corner(F.col("re") - F.col("cs"), 1))
     return pairs.select(key, F.explode(corners).alias("c")).groupBy(key, "c.x").agg(F.sum("c.ds").alias("ds"))
