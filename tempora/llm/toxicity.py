@@ -237,9 +237,12 @@ def machine(words: list[Counter[str]], y: np.ndarray, landmarks_at_most: int = L
 
 
 def best_cut(margin: np.ndarray, y: np.ndarray) -> float:
-    """The margin from which on a text counts as toxic: the middle of those with the best F1, clean texts being WEIGHT times as frequent as toxic ones."""
-    cuts = np.unique(margin)
-    cuts = np.r_[cuts[0] - 1, (cuts[1:] + cuts[:-1]) / 2]
+    """The margin from which on a text counts as toxic: the middle of those with the best F1, clean texts being WEIGHT times as frequent as toxic ones.
+
+    0 is the margin of a text without any similar word, which never counts as toxic, however little there was to learn from."""
+    cuts = np.unique(np.r_[margin, 0.0])
+    cuts = np.r_[(cuts[1:] + cuts[:-1]) / 2, cuts[-1] + 1]
+    cuts = cuts[cuts > 0]
     rarity = WEIGHT * (y == 1).sum() / (y == 0).sum()
     over = lambda k: (y == k).sum() - np.searchsorted(np.sort(margin[y == k]), cuts, "right")
     hit, wrong = over(1), over(0)
@@ -262,10 +265,10 @@ def train(texts: list[str], labels: list[int]) -> Model:
         for f in range(FOLDS):
             out = np.flatnonzero(fold == f)
             other = machine([w for w, k in zip(words, fold.tolist(), strict=True) if k != f], y[fold != f])
-            margin[out] = other.margin(_pool(Kernel(other.landmarks), [words[i] for i in out.tolist()]))
+            margin[out] = other.margin(_pool(Kernel(other.landmarks), [words[i] for i in out.tolist()])) - other.bias
     else:
-        margin = model.margin(_pool(Kernel(model.landmarks), words))
-    model.middle = best_cut(margin, y) - math.log(CUT / (1 - CUT)) / SLOPE
+        margin = model.margin(_pool(Kernel(model.landmarks), words)) - model.bias
+    model.middle = model.bias + best_cut(margin, y) - math.log(CUT / (1 - CUT)) / SLOPE
     return model
 
 

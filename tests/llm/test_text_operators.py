@@ -309,6 +309,12 @@ def test_op2_sees_through_inserted_characters_in_held_out_rows(spark):
     assert (of(bent) >= toxicity.CUT).mean() >= 0.7
 
 
+def test_op2_leaves_texts_alone_when_it_has_little_to_learn_from(spark):
+    got = queries.op2_toxicity(spark, SF).collect()
+    assert sum(r["predicted"] for r in got) < 0.5 * len(got)
+    assert toxicity.best_cut(np.asarray([0.0, 0.0, 0.0, -1.0]), np.asarray([1, 0, 0, 1])) > 0
+
+
 def test_op2_cut_comes_from_other_folds():
     margin, y = np.asarray([-2.0, -1.0, -0.5, 0.2, 1.0, 2.0, 3.0]), np.asarray([0, 0, 0, 0, 1, 1, 1])
     assert toxicity.best_cut(margin, y) == pytest.approx(0.6)
