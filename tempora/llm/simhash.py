@@ -233,4 +233,5 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> D
     best = rows.groupBy(F.col("fp_").alias("fp")).agg(F.min(order).alias("first"))
     best = materialize(best, "first")
     kept = best.join(_classes(best, radius), "fp").groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("kept_"))
-    return rows.join(materialize(kept, "kept"), F.col("row_") == F.col("kept_"), "left_semi").select(*names)
+    # by an exchange at any size: what small inputs would save by a broadcast says nothing of large ones
+    return rows.join(materialize(kept, "kept").hint("merge"), F.col("row_") == F.col("kept_"), "left_semi").select(*names)
