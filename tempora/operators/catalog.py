@@ -16,28 +16,45 @@ def match_videos(subtitles: DataFrame, videos: DataFrame) -> DataFrame:
     """dir, name -> video: the video of the folder whose name shares most words (half at least) among those whose episode
     doesn't differ, the first by name among equals; else the folder's only usable one.
 
-    A name that shares half of a video's words holds one of its rarer half (and one more), so videos are met by these
-    words alone and a flat folder is not paired off; how many are usable is counted by episode."""
-    s = subtitles.select("dir", "name").distinct().select("dir", "name", title_tokens(F.col("name")).alias("st"), episode_tag(F.col("name")).alias("se"))
-    v = videos.select("dir", F.col("name").alias("video")).distinct().select("dir", "video", name_tokens(F.col("video")).alias("vt"), episode_tag(F.col("video")).alias("ve"))
-    each = v.select("dir", "video", "ve", "vt", F.explode("vt").alias("token"))
-    common = each.groupBy("dir", "token").agg(F.count(F.lit(1)).alias("n"))
+    Words that only one side of a folder has are no part of any match. Without them, names fall into classes (folder,
+    episode, words left and, of videos, how many there were), and classes meet by the rarer half (and one more) of a video
+    class's words. Copies, and names that differ by such words alone, are never paired off; how many videos are usable is
+    counted by episode."""
+    s = subtitles.groupBy("dir", "name").agg(F.count(F.lit(1)).alias("copies")).withColumns({"st": title_tokens(F.col("name")), "se": episode_tag(F.col("name"))})
+    v = videos.select("dir", F.col("name").alias("video")).distinct().withColumns({"vt": name_tokens(F.col("video")), "ve": episode_tag(F.col("video"))})
+    words = lambda df, column: df.select("dir", F.explode(column).alias("token")).distinct()
+    common = words(s, "st").join(words(v, "vt"), ["dir", "token"]).withColumn("common", F.lit(True))
+
+    def left(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
+        """Rows by their keys, with the words of column that both sides of the folder have, in order."""
+        each = df.select(*keys, F.posexplode_outer(column).alias("pos", "token")).join(common, ["dir", "token"], "left")
+        return each.where("common or pos = 0 or pos is null").groupBy(*keys).agg(F.array_sort(F.collect_set(F.when(F.col("common"), F.col("token")))).alias("words"))
+
+    s = left(s, "st", ["dir", "name", "se", "copies"])
+    vc = left(v.withColumn("n_words", F.size("vt")), "vt", ["dir", "video", "ve", "n_words"]).groupBy("dir", "ve", "n_words", "words").agg(F.min("video").alias("video"))
+    sc = s.where("size(words) > 0").select("dir", "se", "words").distinct()
+    each = vc.where("2 * size(words) >= n_words").select("*", F.explode("words").alias("token"))
+    count = each.groupBy("dir", "token").agg(F.count(F.lit(1)).alias("n"))
     rarest = Window.partitionBy("dir", "video").orderBy("n", "token")
-    rare = each.join(common, ["dir", "token"]).withColumn("k", F.row_number().over(rarest)).where(F.col("k") <= F.floor(F.size("vt") / 2) + 1)
-    met = s.select("dir", "name", "se", "st", F.explode("st").alias("token")).join(rare.select("dir", "token", "video", "ve", "vt"), ["dir", "token"])
+    rare = each.join(count, ["dir", "token"]).withColumn("k", F.row_number().over(rarest)).where(F.col("k") <= F.size("words") - F.ceil(F.col("n_words") / 2) + 1)
+    met = sc.select("dir", "se", F.col("words").alias("st"), F.explode("words").alias("token")).join(rare.select("dir", "token", "video", "ve", "n_words", F.col("words").alias("vt")), ["dir", "token"])
     met = met.where(F.col("se").isNull() | F.col("ve").isNull() | (F.col("se") == F.col("ve")))
-    score = lambda: F.size(F.array_intersect("vt", "st")) / F.greatest(F.size("vt"), F.lit(1))
-    good = met.withColumn("score", F.round(score(), 6)).where("score >= 0.5").groupBy("dir", "name").agg(F.min(F.struct((-F.col("score")).alias("less"), F.col("video").alias("video"))).alias("best"))
+    score = lambda n: F.round(F.size(F.array_intersect("vt", "st")) / F.greatest(n, F.lit(1)), 6)
+    good = met.withColumn("score", score(F.col("n_words"))).where("score >= 0.5").groupBy("dir", "se", "st").agg(F.min(F.struct((-F.col("score")).alias("less"), F.col("video").alias("video"))).alias("best"))
+    good = good.select(F.col("dir").alias("dir_"), F.col("se").alias("se_"), F.col("st").alias("words_"), "best")
     of = v.groupBy("dir", "ve").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("video", "vt")).alias("one"))
     whole = of.groupBy("dir").agg(F.sum("n").alias("n_all"), F.min("one").alias("one_all"))
     plain = of.where("ve is null").select("dir", F.col("n").alias("n_plain"), F.col("one").alias("one_plain"))
-    same = of.where("ve is not null").select(F.col("dir").alias("dir_"), F.col("ve").alias("ve_"), F.col("n").alias("n_same"), F.col("one").alias("one_same"))
-    t = s.join(whole, "dir", "left").join(plain, "dir", "left").join(same, (F.col("dir") == F.col("dir_")) & (F.col("se") == F.col("ve_")), "left")
+    same = of.where("ve is not null").select("dir", F.col("ve").alias("se"), F.col("n").alias("n_same"), F.col("one").alias("one_same"))
+    t = sc.unionByName(s.where("size(words) = 0").select("dir", "se", "words").distinct()).join(whole, "dir", "left").join(plain, "dir", "left").join(same, ["dir", "se"], "left")
     usable = F.when(F.col("se").isNull(), F.col("n_all")).otherwise(F.coalesce("n_plain", F.lit(0)) + F.coalesce("n_same", F.lit(0)))
     only = F.when(usable == 1, F.when(F.col("se").isNull(), F.col("one_all")).otherwise(F.coalesce("one_plain", "one_same")))
-    t = t.withColumn("only", only).withColumn("vt", F.col("only.vt")).withColumn("only_score", F.round(score(), 6)).select("dir", "name", F.col("only.video").alias("only"), "only_score")
-    found = t.join(good, ["dir", "name"], "left").select("dir", "name", F.coalesce("best.video", "only").alias("video"), F.coalesce(-F.col("best.less"), F.when(F.col("only").isNotNull(), F.col("only_score"))).alias("score"))
-    return subtitles.select("dir", "name").join(found, ["dir", "name"], "left")
+    t = t.withColumn("only", only).withColumn("vt", F.col("only.vt")).withColumn("st", F.col("words")).withColumn("only_score", score(F.size("vt")))
+    t = t.join(good, (F.col("dir") == F.col("dir_")) & F.col("se").eqNullSafe(F.col("se_")) & (F.col("words") == F.col("words_")), "left")
+    found = t.select("dir", "se", "words", F.coalesce("best.video", "only.video").alias("video"), F.coalesce(-F.col("best.less"), F.when(F.col("only").isNotNull(), F.col("only_score"))).alias("score"))
+    found = found.select(F.col("dir").alias("dir_"), F.col("se").alias("se_"), F.col("words").alias("words_"), "video", "score")
+    out = s.join(found, (F.col("dir") == F.col("dir_")) & F.col("se").eqNullSafe(F.col("se_")) & (F.col("words") == F.col("words_")), "left")
+    return out.select("dir", "name", "video", "score", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
 
 
 def needs_work(pairs: DataFrame, jobs: DataFrame, tolerance_s: float = 1.0, attempts: int = 3) -> DataFrame:
