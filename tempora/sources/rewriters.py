@@ -36,8 +36,7 @@ class Shift:
 
     def both(self, start: Column, end: Column) -> tuple[Column, Column]:
         """A start below zero slides the cue so that it begins at zero."""
-        slide = F.greatest(-self.apply(start), F.lit(0))
-        return self.apply(start) + slide, self.apply(end) + slide
+        return F.greatest(self.apply(start), F.lit(0)), self.apply(end) + F.greatest(-self.apply(start), F.lit(0))
 
     def apply_one(self, ms: int, offset: int) -> int:
         x = ms * (1 + self.slope) + self.intercept_s * 1000
@@ -68,7 +67,7 @@ def _written(pieces: DataFrame, new: Column, shift: Shift, between: str, changes
     else:
         pieces = pieces.withColumn("offset_ms", F.lit(0))
     piece = F.when(F.col("is_cue") if changes is None else changes, F.coalesce(new, F.col("piece"))).otherwise(F.col("piece"))
-    rows = pieces.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("piece_no", piece.alias("p")))).alias("all"))
+    rows = pieces.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("piece_no", piece.alias("p")))).alias("all"))
     return rows.select("path", F.array_join(F.transform("all", lambda x: x["p"]), between).alias("text"))
 
 
@@ -195,19 +194,21 @@ def ttml(texts: DataFrame, shift: Shift) -> DataFrame:
     rates = texts.select("path", (number("frameRate", 30.0) * scale).alias("fps"), number("tickRate", 1.0).alias("ticks"))
     p = _numbered(_pieces(texts, PARAGRAPH), F.col("piece").rlike(r"(?s)^<(?:\w+:)?p\b[^>]*>")).join(rates, "path")
     old = lambda name: F.regexp_extract("piece", value(name), 2)
-    begin, end = (T.ttml_ms(old(n), F.col("fps"), F.col("ticks")) for n in ("begin", "end"))
-    has_end = old("end") != ""
+    p = p.withColumns({"old_begin": old("begin"), "old_end": old("end")})
+    begin, end = (T.ttml_ms(F.col(f"old_{n}"), F.col("fps"), F.col("ticks")) for n in ("begin", "end"))
+    p = p.withColumns({"begin": begin, "end": end})
+    begin, end, has_end = F.col("begin"), F.col("end"), F.col("old_end") != ""
     a, b = shift.both(begin, F.when(has_end, end).otherwise(begin))
 
     def like(ms: Column, was: Column) -> Column:
-        ms = F.greatest(ms, F.lit(0))
-        s, two = F.floor(ms / 1000), lambda x: F.lpad(x.cast("int").cast("string"), 2, "0")
-        f = F.least(F.ceil("fps") - 1, F.round(ms % 1000 * F.col("fps") / 1000.0))
-        return F.when(F.length(F.regexp_replace(was, "[^:]", "")) == 3, F.concat_ws(":", two(F.floor(s / 3600)), two(F.floor(s / 60) % 60), two(s % 60), two(f))).otherwise(T.clock(ms, "."))
+        two = lambda x: F.lpad(x.cast("int").cast("string"), 2, "0")
+        f = lambda ms: F.least(F.ceil("fps") - 1, F.round(ms % 1000 * F.col("fps") / 1000.0))
+        frames = lambda ms: F.concat_ws(":", two(F.floor(ms / 3_600_000)), two(F.floor(ms / 60_000) % 60), two(F.floor(ms / 1000) % 60), two(f(ms)))
+        return T.let(F.greatest(ms, F.lit(0)), lambda ms: F.when(F.length(F.regexp_replace(was, "[^:]", "")) == 3, frames(ms)).otherwise(T.clock(ms, ".")))
 
     put = lambda c, name, new: F.concat(F.regexp_extract(c, value(name), 1), new, F.regexp_extract(c, value(name), 3))
-    first = put("piece", "begin", like(a, old("begin")))
-    new = F.when((begin >= 0) & has_end & (end >= 0), put(first, "end", like(b, old("end")))).when((begin >= 0) & ~has_end, first)
+    first = put("piece", "begin", like(a, F.col("old_begin")))
+    new = F.when((begin >= 0) & has_end & (end >= 0), put(first, "end", like(b, F.col("old_end")))).when((begin >= 0) & ~has_end, first)
     return _written(p, new, shift, "")
 
 

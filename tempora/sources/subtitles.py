@@ -82,7 +82,7 @@ def _block_text(t: DataFrame, is_time: Column) -> DataFrame:
     b = t.withColumn("time", is_time).withColumn("cue", F.sum(F.col("time").cast("int")).over(w)).where("cue > 0")
     c = Window.partitionBy("path", "cue").orderBy("line_no")
     b = b.withColumn("over", F.max((~F.col("time") & (F.trim("line") == "")).cast("int")).over(c)).where("over = 0")
-    return b.groupBy("path", "cue").agg(F.min("line_no").alias("line_no"), F.min_by("line", "line_no").alias("head"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("time"), F.struct("line_no", "line")))), lambda x: x["line"]), "\n").alias("text"))
+    return b.groupBy("path", "cue").agg(F.min("line_no").alias("line_no"), F.min_by("line", "line_no").alias("head"), F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~F.col("time"), F.struct("line_no", "line")))), lambda x: x["line"]), "\n").alias("text"))
 
 
 def read_srt(texts: DataFrame) -> DataFrame:

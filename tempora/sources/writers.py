@@ -11,7 +11,7 @@ _ASS_HEAD = "[Script Info]\nScriptType: v4.00+\n\n[Events]\nFormat: Layer, Start
 
 
 def _file(cues: DataFrame, line: Column, head: str = "", end: str = "\n") -> DataFrame:
-    rows = cues.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cue_no", line.alias("l")))), lambda x: x["l"]), "\n").alias("body"))
+    rows = cues.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("cue_no", line.alias("l")))), lambda x: x["l"]), "\n").alias("body"))
     return rows.select("path", F.concat(F.lit(head), "body", F.lit(end)).alias("text"))
 
 
@@ -89,7 +89,7 @@ def rewrite_clock_lines(texts: DataFrame, times: DataFrame) -> DataFrame:
     mark = F.regexp_extract("line", r"\d([.,])\d", 1)
     stamp = lambda x: F.when(mark == ",", T.clock(F.col(x))).otherwise(T.clock(F.col(x), "."))
     line = F.when(F.col("start_ms").isNotNull() & F.col("is_time"), F.concat(stamp("start_ms"), F.lit(" --> "), stamp("end_ms"), F.regexp_extract("line", r"-->\s*\S+(.*)$", 1))).otherwise(F.col("line"))
-    return j.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
+    return j.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
 
 
 def beside(path: Column) -> Column:

@@ -1,9 +1,12 @@
 """Rows that joins make, so that work doesn't grow with the square of a group."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from tempora.functions import times
 from tempora.operators import catalog, intervals
 from tempora.plans.all_queries import QUERIES
+from tempora.sources import rewriters
 
 
 def most_joined(df):
@@ -51,3 +54,12 @@ def test_slope_events_by_brute_force_and_in_blocks():
     for pairs in (1, 50, 1 << 20):
         x, ds = intervals.slope_events((rs, re, w), (cs, ce), 1500, pairs)
         assert x.tolist() == sorted(want) and np.allclose(ds, [want[k] for k in x])
+
+
+def test_times_are_worked_out_once(spark):
+    x = spark.createDataFrame([("1:02:03.45",)], "x string")
+    shift = rewriters.Shift(0.001, 0.25)
+    a, b = shift.both(times.parse_timestamp(F.col("x")), times.parse_timestamp(F.col("x")))
+    df = x.withColumn("offset_ms", F.lit(7)).select(times.clock(a, ".").alias("a"), times.clock(b, ".", 2).alias("b"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") <= 20  # over a hundred for either, if each use works its argument out anew
+    assert df.collect() == [("01:02:07.430", "01:02:07.43")]
