@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import struct
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempora.functions import times as T
@@ -79,23 +78,26 @@ def format_scc(l: DataFrame) -> DataFrame:
 def _binary(cues: DataFrame, kind: str) -> DataFrame:
     """path, content: files of a binary format that hold the cues' times."""
 
-    def ebu(c: pd.DataFrame) -> bytes:
-        head = bytearray(b" " * 1024)
-        head[3:11], head[256:264] = b"STL25.01", b"10000000"
-        code = lambda ms: bytes((10 + (f := (int(ms) + 20) // 40) // 90_000, f // 1500 % 60, f // 25 % 60, f % 25))
-        records = [struct.pack("<BHBB4s4sBBB", 0, int(n), 0xFF, 0, code(s), code(e), 0, 0, 0).ljust(128, b"\x8f") for n, s, e in zip(c["cue_no"], c["start_ms"], c["end_ms"], strict=True)]
-        return bytes(head) + b"".join(records)
+    digits = lambda x, n: F.lpad(F.hex(x), n, "0")
 
-    def pgs(c: pd.DataFrame) -> bytes:
-        segment = lambda ms, objects: b"PG" + struct.pack(">IIBH", int(ms) * 90, 0, 0x16, 11) + bytes(10) + bytes([objects])
-        return b"".join(segment(s, 1) + segment(e, 0) for s, e in zip(c["start_ms"], c["end_ms"], strict=True))
+    def ebu(c: Column) -> Column:
+        def code(ms: Column) -> Column:
+            hmsf = lambda f: (F.floor(f / 90_000) + 10) * (1 << 24) + F.floor(f / 1500) % 60 * (1 << 16) + F.floor(f / 25) % 60 * (1 << 8) + f % 25
+            return digits(T.let(F.floor((ms + 20) / 40), hmsf), 8)
 
-    make = {"stl": ebu, "sup": pgs}[kind]
+        number = digits(c["cue_no"] % 256 * 256 + F.floor(c["cue_no"] / 256), 4)
+        return F.concat(F.lit("00"), number, F.lit("FF00"), code(c["start_ms"]), code(c["end_ms"]), F.lit("000000" + "8F" * 112))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"path": [pdf["path"].iat[0]], "content": [make(pdf.sort_values("cue_no"))]})
+    def pgs(c: Column) -> Column:
+        segment = lambda ms, objects: F.concat(F.lit(b"PG".hex()), digits(ms.cast("bigint") * 90, 8), F.lit((struct.pack(">IBH", 0, 0x16, 11) + bytes(10) + bytes([objects])).hex()))
+        return F.concat(segment(c["start_ms"], 1), segment(c["end_ms"], 0))
 
-    return cues.groupBy("path").applyInPandas(run, "path string, content binary")
+    head = bytearray(b" " * 1024 if kind == "stl" else b"")
+    if kind == "stl":
+        head[3:11], head[256:264] = b"STL25.01", b"10000000"
+    rows = cues.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("cue_no", "start_ms", "end_ms"))).alias("cues"))
+    body = F.array_join(F.transform("cues", {"stl": ebu, "sup": pgs}[kind]), "")
+    return rows.select("path", F.unhex(F.concat(F.lit(head.hex()), body)).alias("content"))
 
 
 def _register_binary(kind: str) -> None:

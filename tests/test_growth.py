@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from tempora.functions import times
 from tempora.operators import catalog, intervals
+from tempora.plans import format_queries
 from tempora.plans.all_queries import QUERIES
-from tempora.sources import rewriters
+from tempora.sources import binary, rewriters
 
 
 def most_joined(df):
@@ -63,3 +64,21 @@ def test_times_are_worked_out_once(spark):
     df = x.withColumn("offset_ms", F.lit(7)).select(times.clock(a, ".").alias("a"), times.clock(b, ".", 2).alias("b"))
     assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") <= 20  # over a hundred for either, if each use works its argument out anew
     assert df.collect() == [("01:02:07.430", "01:02:07.43")]
+
+
+def test_binary_files_are_not_made_one_group_at_a_time(spark):
+    for name in ("format_stl", "format_sup", "move_stl", "move_sup"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "FlatMapGroupsInPandas" not in plan and "regexp" not in plan, name  # nor are texts read that such files don't hold
+    rows = [("a", n, ms, ms + 1500, "x") for n, ms in ((300, 86_398_000 // 3), (0, 0), (255, 59_990), (256, 3_599_980))]
+    cues = spark.createDataFrame([*rows, ("b", 7, 123_456, 130_000, "y")], "path string, cue_no int, start_ms int, end_ms int, text string")
+    for kind, unit in (("stl", 40), ("sup", 1)):
+        files = format_queries._binary(cues, kind)
+        got = {(r["path"], r["cue_no"]): (r["start_ms"], r["end_ms"]) for r in binary.read(files, kind).collect()}
+        want = {("a", k): r[2:4] for k, r in enumerate(sorted(rows))} | {("b", 0): (123_456, 130_000)}
+        assert got == {k: tuple((x + unit // 2) // unit * unit for x in v) for k, v in want.items()}
+        a = {r["path"]: bytes(r["content"]) for r in files.collect()}["a"]
+        if kind == "stl":
+            assert len(a) == 1024 + 4 * 128 and a[3:11] == b"STL25.01" and a[1024:1040].hex() == "000000ff000a0000000a00010d000000" and a[1024 + 3 * 128 + 1 : 1024 + 3 * 128 + 3] == b"\x2c\x01"
+        else:
+            assert len(a) == 4 * 2 * 24 and a[:24] == b"PG" + bytes(8) + b"\x16\x00\x0b" + bytes(10) + b"\x01" and a[26:30] == (1500 * 90).to_bytes(4, "big")
