@@ -125,7 +125,7 @@ def fnv_fingerprint(j: DataFrame) -> DataFrame:
 select film_id, cue_no, k as charset, t as text from c, (select unnest(['utf8', 'bom', 'utf16le', 'utf16le-bom', 'utf16be', 'utf16be-bom', 'latin1']) as k) v""")
 def charsets(l: DataFrame) -> DataFrame:
     """Bytes in seven encodings, told apart and decoded."""
-    t = F.concat(F.trim(F.regexp_replace("text", "[^A-Za-z .]", "")), F.lit(" Hélló ñ"))
+    t = F.concat(F.trim(F.regexp_replace("text", X.NO_LETTERS, "")), F.lit(" Hélló ñ"))
     in_ = lambda kind: F.encode("t", kind)
     with_mark = lambda mark, kind: F.concat(F.unhex(F.lit(mark)), in_(kind))
     kinds = {"utf8": in_("UTF-8"), "bom": with_mark("EFBBBF", "UTF-8"), "utf16le": in_("UTF-16LE"), "utf16le-bom": with_mark("FFFE", "UTF-16LE"), "utf16be": in_("UTF-16BE"), "utf16be-bom": with_mark("FEFF", "UTF-16BE"), "latin1": in_("ISO-8859-1")}

@@ -19,18 +19,21 @@ MAX_BYTES = 64 << 20
 
 def decode(content: Column) -> Column:
     """Text of bytes: by byte order mark, else UTF-16 by its share of NUL bytes, else UTF-8 if valid, else Latin-1."""
-    head = F.hex(F.substring(content, 1, 4096))
-    n = F.greatest(F.length(head) / 4, F.lit(1.0))
-    zero = lambda g: F.size(F.filter(F.regexp_extract_all(head, F.lit("(..)(..)"), F.lit(g)), lambda b: b == "00")) / n
+    nul, head = F.lit("\0"), F.substring(content, 1, 4096)
+    n = F.greatest(F.octet_length(head) / 2, F.lit(1.0))
+    pairs = F.decode(F.substring(head, F.lit(1), (F.octet_length(head) - F.octet_length(head) % 2).cast("int")), "ISO-8859-1")  # a character for each byte
+    nuls = lambda x: F.length(x) - F.length(F.replace(x, nul, F.lit("")))
+    second = T.let(F.regexp_replace(pairs, "(?s).(.)", "$1"), nuls) / n  # the share of pairs whose second byte is NUL
     wide = lambda kind: F.regexp_replace(F.decode(content, kind), "^\ufeff", "")
+    narrow = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "ISO-8859-1"))
+    by_share = lambda one, two: F.when((two > 0.3) & (one < 0.05), F.decode(content, "UTF-16LE")).when((one > 0.3) & (two < 0.05), F.decode(content, "UTF-16BE")).otherwise(narrow)
+    starts = lambda mark: F.startswith(content, F.lit(bytes.fromhex(mark)))
     return (
-        F.when(head.startswith("EFBBBF"), F.regexp_replace(F.decode(content, "UTF-8"), "^\ufeff", ""))
-        .when(head.startswith("FFFE"), wide("UTF-16LE"))
-        .when(head.startswith("FEFF"), wide("UTF-16BE"))
-        .when((zero(2) > 0.3) & (zero(1) < 0.05), F.decode(content, "UTF-16LE"))
-        .when((zero(1) > 0.3) & (zero(2) < 0.05), F.decode(content, "UTF-16BE"))
-        .when(F.is_valid_utf8(content.cast("string")), content.cast("string"))
-        .otherwise(F.decode(content, "ISO-8859-1"))
+        F.when(starts("EFBBBF"), F.regexp_replace(F.decode(content, "UTF-8"), "^\ufeff", ""))
+        .when(starts("FFFE"), wide("UTF-16LE"))
+        .when(starts("FEFF"), wide("UTF-16BE"))
+        .when(content.cast("string").contains(nul), T.let(second, lambda two: by_share(nuls(pairs) / n - two, two)))
+        .otherwise(narrow)
     )
 
 

@@ -78,3 +78,32 @@ def test_watcher(spark, tmp_path):
     assert jobs.epochs() == before
     fresh = spark.read.format("binaryFile").load(str(folder)).select("path", "modificationTime", "length").withColumnsRenamed({"modificationTime": "modified", "length": "size"})
     assert watch.settled(fresh).count() == 0 and watch.settled(fresh, -1).count() == 3
+
+
+def test_shares_of_nul_bytes_decide_as_pairs(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    def want(x):
+        head = x[:4096]
+        n = max(1.0, len(head) / 2)
+        one, two = (sum(head[i + k] == 0 for i in range(0, len(head) - 1, 2)) / n for k in (0, 1))
+        if x[:3] == b"\xef\xbb\xbf":
+            return x[3:].decode()
+        wide = "utf-16-le" if two > 0.3 and one < 0.05 else "utf-16-be" if one > 0.3 and two < 0.05 else None
+        if wide:
+            return None if len(x) % 2 else x.decode(wide)
+        try:
+            return x.decode()
+        except UnicodeDecodeError:
+            return x.decode("latin-1")
+
+    r = random.Random(3)
+    data = [bytes(r.choice((0, 0, 65, 10, 200)) if r.random() < share else 65 for _ in range(r.randrange(40))) for share in (0.1, 0.5, 0.9) for _ in range(60)]
+    data += [bytes(r.choice((65, 66, 0xE9)) if i % 2 == side else 0 if r.random() < 0.8 else 7 for i in range(2 * r.randrange(30))) for side in (0, 1) for _ in range(60)]
+    data += [t.encode(e) for t in ("é" * 5000, "a\n", "\n\0") for e in ("utf-16-le", "utf-16-be", "latin-1", "utf-8")] + [b"", b"\0", b"\xef\xbb\xbfa"]
+    data = [x for x in data if want(x) is not None]
+    df = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(data)], "i int, b binary").select("i", subtitles.decode(F.col("b")).alias("t"))
+    assert "extract_all" not in df._jdf.queryExecution().optimizedPlan().toString().lower()  # nor an array of each pair of bytes
+    assert dict(df.collect()) == {i: want(x) for i, x in enumerate(data)}
