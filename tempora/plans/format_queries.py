@@ -7,6 +7,7 @@ import struct
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tempora.functions import text as X
 from tempora.functions import times as T
 from tempora.plans.registry import query
 from tempora.sources import binary, rewriters, subtitles, writers
@@ -19,7 +20,7 @@ SLOPE, INTERCEPT_S = 0.001, 0.25
 
 
 def _cues(l: DataFrame) -> DataFrame:
-    t = F.trim(F.regexp_replace("text", "[^A-Za-z .]", ""))
+    t = F.trim(F.regexp_replace("text", X.NO_LETTERS, ""))
     start = F.col("cue_no") * 4000 + (F.col("film_id") % 900).cast("int")
     return l.select(F.concat(F.lit("f"), F.col("film_id").cast("string")).alias("path"), "cue_no", start.alias("start_ms"), (start + 1500).alias("end_ms"), T.let(t, lambda t: F.when(t == "", "x").otherwise(t)).alias("text"))
 

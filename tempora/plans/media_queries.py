@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempora.functions import text as X
 from tempora.operators import intervals as I
 from tempora.operators import media as A
 from tempora.plans.interval_queries import SWEEP
@@ -114,7 +115,7 @@ select 'f' || film_id as path, string_agg(k || chr(10) || '00:00:0' || (s // 100
 @query("lines", sql=_EMBEDDED)
 def embedded_text(l: DataFrame) -> DataFrame:
     """Packets of an embedded track in time order, renumbered and written as one file."""
-    t = F.trim(F.regexp_replace("text", "[^A-Za-z .]", ""))
+    t = F.trim(F.regexp_replace("text", X.NO_LETTERS, ""))
     start = F.col("cue_no") * 1000 % 7000
     c = l.select(F.concat(F.lit("f"), F.col("film_id").cast("string")).alias("path"), start.alias("start_ms"), (start + 900).alias("end_ms"), F.when(t == "", "x").otherwise(t).alias("text"))
     k = F.row_number().over(Window.partitionBy("path").orderBy("start_ms", "end_ms", "text")) - 1

@@ -229,16 +229,14 @@ def scc_lines(texts: DataFrame) -> DataFrame:
     142f shows what was loaded; 142c hides; 1420 begins pop-on, 1425 to 1427 and 1429 roll-up and paint-on, where text shows as it comes."""
     p = _pieces(texts, LINE)
     stamp = r"^\s*(\d+:\d+:\d+[:;]\d+)(.*)$"
-    words = F.filter(F.split(F.trim(F.regexp_extract(_bare(), stamp, 2)), r"\s+"), lambda x: x.rlike("^[0-9A-Fa-f]+$"))
-    value = F.transform(words, lambda x: F.conv(F.right(x, F.lit(4)), 16, 10).cast("int").bitwiseAND(F.lit(0x7F7F)))
-    p = p.withColumn("v", value).withColumn("codes", F.transform("v", lambda x: x.bitwiseAND(F.lit(0xF7FF))))
-    p = p.withColumn("ms", F.when(F.col("piece").rlike(stamp), T.scc_ms(F.regexp_extract(_bare(), stamp, 1))))
-    mode = F.filter("codes", lambda x: x.isin(0x1420, 0x1425, 0x1426, 0x1427, 0x1429))
-    pop = F.coalesce(F.last(F.when(F.col("ms").isNotNull(), F.get(mode, F.size(mode) - 1)), ignorenulls=True).over(_w()) == 0x1420, F.lit(True))
-    texty = F.exists("v", lambda x: x >= 0x2000)
-    p = p.withColumn("pop", pop).withColumn("texty", texty)
-    p = p.withColumn("show", F.col("ms").isNotNull() & (F.array_contains("codes", 0x142F) | (~F.col("pop") & F.col("texty"))))
-    return p.withColumn("hide", F.col("ms").isNotNull() & ~F.col("show") & F.array_contains("codes", 0x142C)).withColumn("load", F.col("ms").isNotNull() & F.col("pop") & ~F.col("show") & F.col("texty")).select("path", "piece_no", "piece", "ms", "load", "show", "hide")
+    word = lambda code: rf"\s\p{{XDigit}}*{code}(?!\S)"  # noqa: E731  # the last four digits count; 8 and 80 are parity, 08 in the first byte is the channel
+    control = lambda code: word("[19][4Cc]" + code)
+    p = p.withColumns({"codes": F.concat(F.lit(" "), F.regexp_extract(_bare(), stamp, 2)), "ms": F.when(F.col("piece").rlike(stamp), T.scc_ms(F.regexp_extract(_bare(), stamp, 1)))})
+    mode = F.when(F.col("ms").isNotNull(), F.nullif(F.regexp_extract("codes", ".*" + control("[2Aa]([05679])"), 1), F.lit("")))
+    pop = F.coalesce(F.last(mode, ignorenulls=True).over(_w()) == "0", F.lit(True))
+    p = p.withColumn("pop", pop).withColumn("texty", F.col("codes").rlike(word(r"[2-7A-Fa-f]\p{XDigit}{3}")))
+    p = p.withColumn("show", F.col("ms").isNotNull() & (F.col("codes").rlike(control("[2Aa][Ff]")) | (~F.col("pop") & F.col("texty"))))
+    return p.withColumn("hide", F.col("ms").isNotNull() & ~F.col("show") & F.col("codes").rlike(control("[2Aa][Cc]"))).withColumn("load", F.col("ms").isNotNull() & F.col("pop") & ~F.col("show") & F.col("texty")).select("path", "piece_no", "piece", "ms", "load", "show", "hide")
 
 
 def scc(texts: DataFrame, shift: Shift) -> DataFrame:

@@ -61,8 +61,8 @@ def to_subviewer(c: DataFrame) -> DataFrame:
 
 def to_scc(c: DataFrame) -> DataFrame:
     """Pop-on captions, loaded and shown in one line and hidden by another; letters go two by two."""
-    pairs = F.regexp_extract_all(F.regexp_replace(F.concat("text", F.lit(" ")), r"[^ -~]", "?"), F.lit("(..)"), F.lit(1))
-    codes = F.concat_ws(" ", F.lit("9420 9420"), F.array_join(F.transform(pairs, lambda x: F.lower(F.hex(x))), " "), F.lit("942f 942f"))
+    spaced = lambda x: F.regexp_replace(F.lower(F.hex(F.substring(x, F.lit(1), F.length(x) - F.length(x) % 2))), "(....)(?!$)", "$1 ")
+    codes = F.concat_ws(" ", F.lit("9420 9420"), T.let(F.regexp_replace(F.concat("text", F.lit(" ")), r"[^ -~]", "?"), spaced), F.lit("942f 942f"))
     return _file(c, F.concat(T.scc_code(F.col("start_ms")), F.lit("\t"), codes, F.lit("\n\n"), T.scc_code(F.col("end_ms")), F.lit("\t942c 942c\n")), "Scenarist_SCC V1.0\n\n")
 
 

@@ -82,3 +82,20 @@ def test_binary_files_are_not_made_one_group_at_a_time(spark):
             assert len(a) == 1024 + 4 * 128 and a[3:11] == b"STL25.01" and a[1024:1040].hex() == "000000ff000a0000000a00010d000000" and a[1024 + 3 * 128 + 1 : 1024 + 3 * 128 + 3] == b"\x2c\x01"
         else:
             assert len(a) == 4 * 2 * 24 and a[:24] == b"PG" + bytes(8) + b"\x16\x00\x0b" + bytes(10) + b"\x01" and a[26:30] == (1500 * 90).to_bytes(4, "big")
+
+
+def test_cue_texts_are_cut_by_a_named_class_and_captions_have_no_arrays_of_codes(spark):
+    from tempora.functions import text
+    from tempora.sources import writers
+
+    for name in ("move_spruce", "move_sbv", "convert_formats", "format_scc", "charsets", "embedded_text"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "[^A-Za-z .]" not in plan and text.NO_LETTERS in plan, name  # ten times as long in Java
+    every = "".join(map(chr, (*range(1, 0xD800), *range(0xE000, 0x10FFF))))
+    assert spark.createDataFrame([(every,)], "x string").select(F.regexp_replace("x", text.NO_LETTERS, "")).first()[0] == "".join(c for c in every if c.isascii() and (c.isalpha() or c in " ."))
+    lines = spark.createDataFrame([("p", "00:00:01:00\t9420 6162 942F\n00:00:02;00 1c2f\n00:00:03:00 0000942c\n00:00:04:00 942fg 42f\n00:00:05:00 94a7 c1c2\n00:00:06:00 1425 9420 e1e2\r\nnote 942f")], "path string, text string")
+    got = [(r["show"], r["hide"], r["load"]) for r in rewriters.scc_lines(lines).orderBy("piece_no").collect()]
+    assert got == [(True, False, False), (True, False, False), (False, True, False), (False, False, False), (True, False, False), (False, False, True), (False, False, False)]
+    assert "filter(" not in rewriters.scc_lines(lines)._jdf.queryExecution().optimizedPlan().toString()
+    cues = spark.createDataFrame([("p", i, 4000 * i, 4000 * i + 1500, x) for i, x in enumerate(("", "abc", "é!"))], "path string, cue_no int, start_ms int, end_ms int, text string")
+    assert [x.split("\t")[1] for x in writers.to_scc(cues).first()["text"].split("\n") if "942f" in x] == ["9420 9420  942f 942f", "9420 9420 6162 6320 942f 942f", "9420 9420 3f21 942f 942f"]
